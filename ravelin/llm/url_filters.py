@@ -6,7 +6,7 @@ Rules and URLs are split at the same key boundaries; a rule goes to each range t
 sorted together and swept once: intervals of prefixes are nested or apart, so a stack holds the rules that are open, and its
 top is the most specific one. A hot host is split over ranges by its paths, so it is no hot task.
 
-Boundaries come from a bounded sample of keys. They steer only where the work is done, never the result.
+Boundaries come from a hash sample of about ``boundary_sample`` keys. They steer only where the work is done, never the result.
 
 Defined cases: a null URL, or one without ``scheme://host``, has a null key and the action ``invalid``; a URL that no rule holds has a
 null rule and the default action; of rules with the same prefix the lowest ``rule_id`` wins; repeated pages give repeated
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import INT, LONG, STRING, pick, schema
+from ravelin.llm.common import INT, LONG, STRING, hash_fraction, pick, schema
 
 _PARTS = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^#]*)"
 DEFAULT_ACTION = "keep"
@@ -77,7 +77,7 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default_action: str = DEFAULT_ACTION, ranges: int | None = None, boundary_sample: int = 20_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default_action: str = DEFAULT_ACTION, ranges: int | None = None, boundary_sample: int = 10_000) -> DataFrame:
     """page_id, url_key, rule_id, action, n_active (how many rules hold the URL), a row for each page.
 
     ``rules``: rule_id, prefix, action; rows with a null or empty prefix are no rules.
@@ -86,7 +86,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = pick(pages, page_id=id_col, url=url_col).select(F.col("page_id").cast("long").alias("page_id"), url_key(F.col("url")).alias("key"))
     valid = keyed.where(F.col("key").isNotNull())
-    sample = sorted(r.key for r in valid.select("key").orderBy(F.xxhash64("key"), "page_id").limit(boundary_sample).collect())
+    n = valid.count()
+    sample = sorted(r.key for r in valid.select("key").where(hash_fraction(F.col("key")) * n < boundary_sample).collect()) if n else []
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
 
     @F.pandas_udf(INT)
