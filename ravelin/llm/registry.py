@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "url_filters", "mixing", "packing", "near_dedup", "kneser_ney", "quality_rules"]
+MODULES = ["fingerprints", "url_filters", "mixing", "packing", "near_dedup", "kneser_ney", "quality_rules", "token_counts"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
