@@ -41,7 +41,7 @@ def _count_terms(batches):
             if text:
                 seen.update(set(_TERM.findall(text.lower())))
         if len(seen) > _FLUSH:
-            yield pd.DataFrame({"term": list(seen), "df": list(seen.values())})
+            yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "df": list(seen.values())})
             seen = Counter()
     yield pd.DataFrame({"term": pd.Series(list(seen), dtype=object), "df": pd.Series(list(seen.values()), dtype="int64")})
 
