@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["fingerprints", "url_filters", "mixing", "packing", "near_dedup", "kneser_ney", "quality_rules", "token_counts", "language_id"]
+MODULES = ["fingerprints", "url_filters", "mixing", "packing", "near_dedup", "kneser_ney", "quality_rules", "token_counts", "language_id", "recurrent_lm"]
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
