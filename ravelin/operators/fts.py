@@ -34,7 +34,11 @@ def postings(passages: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str
     columns = [F.regexp_extract_all(F.coalesce(fold_text(F.col(c)), F.lit("")), F.lit(_TERM), F.lit(0)) for c in text_cols]
     own = passages.select(F.col(id_col).alias("chunk_id"), *[c.alias(f"t{i}") for i, c in enumerate(columns)])
     dl = sum((F.size(f"t{i}") for i in range(len(columns))), F.lit(0))
-    places = [F.transform(f"t{i}", lambda t, p, i=i: F.struct(t.alias("mot"), (p + i * _GAP).cast("long").alias("position"))) for i in range(len(columns))]
+
+    def placed(i: int):
+        return F.transform(f"t{i}", lambda t, p: F.struct(t.alias("mot"), (p + i * _GAP).cast("long").alias("position")))
+
+    places = [placed(i) for i in range(len(columns))]
     terms = own.select("chunk_id", dl.alias("dl"), F.explode(F.concat(*places)).alias("x"))
     return terms.groupBy(F.col("x.mot").alias("mot"), "chunk_id", "dl").agg(F.sort_array(F.collect_list("x.position")).alias("positions")).select("mot", "chunk_id", "positions", "dl")
 
@@ -51,13 +55,17 @@ def build_index(passages: DataFrame, id_col: str = "chunk_id", text_cols: tuple[
     return index, materialise(statistics(passages, index, id_col), "fts-statistics")
 
 
+def _back(k: int):
+    return lambda p: p - k
+
+
 def _hits(index: DataFrame, words: list[list[str]]) -> DataFrame:
     """w (number of the word), chunk_id, tf, dl."""
     parts = []
     for i, word in enumerate(words):
         found = index.where(F.col("mot") == word[0]).select("chunk_id", "dl", F.col("positions").alias("at"))
         for k, term in enumerate(word[1:], 1):
-            later = index.where(F.col("mot") == term).select("chunk_id", F.transform("positions", lambda p, k=k: p - k).alias("next"))
+            later = index.where(F.col("mot") == term).select("chunk_id", F.transform("positions", _back(k)).alias("next"))
             found = found.join(later, "chunk_id").select("chunk_id", "dl", F.array_intersect("at", "next").alias("at"))
         parts.append(found.where(F.size("at") > 0).select(F.lit(i).alias("w"), "chunk_id", F.size("at").alias("tf"), "dl"))
     out = parts[0]
@@ -74,7 +82,9 @@ def bm25(index: DataFrame, stats: DataFrame, words: list[list[str]]) -> DataFram
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(LOWEST_IDF)).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return both.groupBy("chunk_id").agg((-F.sum(part)).alias("score"), F.count(F.lit(1)).alias("n_words"))
+    # added in the order of the words, so that copies have equal scores
+    parts = F.sort_array(F.collect_list(F.struct("w", part.alias("p"))))
+    return both.groupBy("chunk_id").agg((-F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["p"])).alias("score"), F.count(F.lit(1)).alias("n_words"))
 
 
 def search(index: DataFrame, stats: DataFrame, question: str, k: int | None, mode: str = "auto") -> DataFrame:

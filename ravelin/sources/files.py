@@ -31,7 +31,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """chemin_source, nom, extension, mtime (seconds), taille, contenu of every file below ``root``, hidden folders included.
 
     ``.DS_Store`` and names that begin with a dot are left out. Spark's own listing also hides names with a leading
-    underscore, so a pattern that matches every name is set beside it; order by ``chemin_source`` where order matters.
+    underscore, and files of no length have no row; order by ``chemin_source`` where order matters.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
     base = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/"))
