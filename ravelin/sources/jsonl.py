@@ -23,8 +23,16 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good rows, corrupt lines). Blank lines are skipped; a missing file has no rows."""
-    rows = _read(spark, path, schema, multi_line=False)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull()).select(F.col("_corrupt").alias("ligne"))
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    try:
+        lines = spark.read.text(path).where(F.trim("value") != "")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        lines = spark.createDataFrame([], "value string")
+    rows = lines.select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    bad = F.col("r._corrupt").isNotNull()
+    return rows.where(~bad).select(*[F.col(f"r.`{f.name}`") for f in schema.fields]), rows.where(bad).select(F.col("value").alias("ligne"))
 
 
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
