@@ -294,3 +294,25 @@ def test_training_beats_word_frequencies(spark):
     d = docs(spark, [(i, chain(300), "en", "s") for i in range(80)])
     bits = recurrent_lm.document_log_likelihood(d, classes=4, slots=4, hidden=12, train_rate=0.9, rounds=2, group_words=30_000, rate=0.1).agg({"bits_per_word": "avg"}).first()[0]
     assert bits < 2.2  # without context about 3 bits, at best 1
+
+
+def test_production_defaults_train_on_every_document(spark):
+    rnd = random.Random(8)
+    nxt = {w: rnd.sample("abcdefgh", 2) for w in "abcdefgh"}
+
+    def chain(n):
+        out = ["a"]
+        while len(out) < n:
+            out.append(rnd.choice(nxt[out[-1]]))
+        return out
+
+    rows = [chain(4_000) for _ in range(30)]
+    counts = Counter(w for r in rows for w in r)
+    unigram = -sum(n / counts.total() * math.log2(n / counts.total()) for n in counts.values())
+    got = recurrent_lm.document_log_likelihood(docs(spark, [(i, " ".join(r), "en", "s") for i, r in enumerate(rows)])).agg({"bits_per_word": "avg"}).first()[0]
+    assert got < 0.75 * unigram
+    for text in ("a b", "a c"):  # alone in their tables
+        model = recurrent_lm.fit(docs(spark, [(1, text, "en", "s")]))
+        assert np.any(model.parameters["C"] != recurrent_lm.initial(np.ones(3))["C"])
+    spaces = docs(spark, [(i, "\u00a0", "en", "s") for i in range(20)] + [(99, "a b", "en", "s")])
+    assert recurrent_lm.document_log_likelihood(spaces).agg({"n_words": "sum"}).first()[0] == 2
