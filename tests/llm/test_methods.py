@@ -316,3 +316,21 @@ def test_production_defaults_train_on_every_document(spark):
         assert np.any(model.parameters["C"] != recurrent_lm.initial(np.ones(3))["C"])
     spaces = docs(spark, [(i, "\u00a0", "en", "s") for i in range(20)] + [(99, "a b", "en", "s")])
     assert recurrent_lm.document_log_likelihood(spaces).agg({"n_words": "sum"}).first()[0] == 2
+
+
+def test_units_spell_every_word(spark):
+    rnd = random.Random(9)
+    syllables = ["ka", "lo", "mi", "ne", "pu", "ra", "se", "ti"]
+    rare = lambda: "".join(rnd.choice(syllables) for _ in range(5))
+    junk = lambda: "".join(rnd.choice("bcdfghjkqvwxz579") for _ in range(10))
+    rows = [(i, " ".join(rare() for _ in range(400)), "en", "s") for i in range(60)]
+    rows += [(100, " ".join(rare() for _ in range(200)), "en", "s"), (101, " ".join(junk() for _ in range(200)), "en", "s")]
+    small = {"classes": 8, "slots": 8, "hidden": 8, "rounds": 1}
+    model = recurrent_lm.fit(docs(spark, rows), **small)
+    strings = {n: u for u, n in model.units.numbers.items()}
+    for word in ("kalo", "\u00e9t\u00e9", "\u4f60\u597d", "\U0001f600x", rows[0][1].split()[0], junk()):
+        units = [strings[n] for n in model.units[word]]
+        assert b"".join(bytes([u]) if isinstance(u, int) else u.encode() for u in units).decode() == word + " "
+    by = {r.doc_id: r for r in recurrent_lm.document_log_likelihood(docs(spark, rows), model).collect()}
+    assert by[100].n_words == by[101].n_words == 200
+    assert by[101].bits_per_word > 1.3 * by[100].bits_per_word  # words beyond the most frequent 64 don't score alike
