@@ -4,7 +4,8 @@ Documents are spread over shards by a hash. In a shard each source's documents,
 cut into blocks of equal tokens; a document belongs to the block that holds its first token. A shard has
 ``floor(budget * blocks)`` seats, and they go one by one to the source with the highest quotient weight / (2 k - 1), where k
 is the number of seats it would then have: integer quotas that stay close to the weights. A source that has no block left
-gets no further seat and the seats go on to the next quotients. The blocks that fill a quota are drawn by a seeded hash.
+gets no further seat and the seats go on to the next quotients; with a large budget availability, not the weights, then
+decides the mix, and ``realised_shares`` reports by how much. The blocks that fill a quota are drawn by a seeded hash.
 
 A shard holds about ``shard_docs`` documents whatever the corpus, so the windows stay small and there are more of them when
 there is more data. Quotas are worked out on (shard, source) totals; the documents are shuffled once, by (shard, source), for
@@ -79,6 +80,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight
     return done.where("_selected").select(f"{whole}.*")
 
 
+def realised_shares(decisions: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT) -> DataFrame:
+    """source, available, selected (tokens), target, share, exhausted: what ``mixing_decisions`` drew of each source against its weight."""
+    chosen = F.sum(F.when(F.col("selected"), F.col("n_tokens")).otherwise(0))
+    own = decisions.groupBy("source").agg(F.sum("n_tokens").alias("available"), chosen.alias("selected")).where("available > 0")
+    weights = WEIGHTS if weights is None else weights
+    weight = F.lit(float(default_weight))
+    for name, w in weights.items():
+        weight = F.when(F.col("source").eqNullSafe(name), F.lit(float(w))).otherwise(weight)
+    own = own.withColumn("_w", F.greatest(weight, F.lit(0.0)))
+    total = own.agg(F.sum("_w").alias("_all_w"), F.sum("selected").alias("_all"))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    return own.crossJoin(F.broadcast(total)).select("source", "available", "selected", share("_w", "_all_w").alias("target"), share("selected", "_all").alias("share"), (F.col("selected") == F.col("available")).alias("exhausted"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -172,6 +172,25 @@ def test_mixing_quotas(spark):
     assert {r.doc_id for r in mixing.mix(d, weights, budget=0.4, block_tokens=200, shard_docs=10_000).collect()} == {r.doc_id for r in got if r.selected}
 
 
+def test_realised_shares_with_production_parameters(spark):
+    hot = ["src4"] * 40 + [f"src{i}" for i in (0, 3, 7, 9) for _ in range(10)]
+    got = mixing.mixing_decisions(docs(spark, [(i, prose(i, 2_000), "en", s) for i, s in enumerate(hot)]))
+    weights = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT) for s in set(hot)}
+    rows = got.collect()
+    avail = {s: -(-sum(r.n_tokens for r in rows if r.source == s) // 4096) for s in weights}
+    quota = Counter()
+    for _ in range(math.floor(sum(avail.values()) * 0.9)):
+        quota[max((s for s in avail if quota[s] < avail[s]), key=lambda s: weights[s] / (2 * quota[s] + 1))] += 1
+    assert Counter(s for s, _ in {(r.source, r.block) for r in rows if r.selected}) == quota
+    shares = {r.source: r for r in mixing.realised_shares(got).collect()}
+    taken = sum(r.n_tokens for r in rows if r.selected)
+    for s, r in shares.items():
+        assert r.target == pytest.approx(weights[s] / sum(weights.values()))
+        assert r.share == pytest.approx(sum(x.n_tokens for x in rows if x.selected and x.source == s) / taken)
+        assert r.exhausted == (quota[s] == avail[s])
+    assert shares["src4"].share > 1.5 * shares["src4"].target and shares["src7"].exhausted and shares["src7"].share < shares["src7"].target
+
+
 # 7
 def test_signatures_estimate_weighted_jaccard():
     rnd = np.random.default_rng(5)
