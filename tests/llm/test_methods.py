@@ -111,17 +111,20 @@ def test_url_rules_against_brute_force(spark, sf):
 
 
 # 5
-def test_kneser_ney_against_the_formula():
+@pytest.mark.parametrize("head", [0, 8, 1 << 20])
+def test_kneser_ney_against_the_formula(spark, head):
     rnd = random.Random(2)
     texts = [[rnd.choice("abcde") for _ in range(rnd.randint(1, 12))] for _ in range(60)]
-    number = {w: i + 2 for i, w in enumerate("abcde")}
+    vocabulary = np.sort(kneser_ney._hashes(list("abcde")))
+    number = dict(zip("abcde", kneser_ney.word_numbers(vocabulary, list("abcde")).tolist(), strict=True))
+    unk, bos = kneser_ney._UNK, kneser_ney._BOS
     c3 = Counter()
     for t in texts:
-        w = [1, 1, *(number[x] for x in t)]
+        w = [bos, bos, *(number[x] for x in t)]
         c3.update(zip(w, w[1:], w[2:], strict=False))
     c2 = Counter((v, w) for _, v, w in c3)
-    for (_, v, w), n in c3.items():
-        if v == 1:
+    for _, v, w in c3:
+        if v == bos:
             c2[v, w] = sum(k for (a, b, c), k in c3.items() if (b, c) == (v, w))
     c1 = Counter(w for _, w in c2)
 
@@ -137,15 +140,23 @@ def test_kneser_ney_against_the_formula():
 
     kinds = len(number) + 1
     p = lambda u, v, w: level(c3, (u, v), w, level(c2, (v,), w, level({(k,): n for k, n in c1.items()}, (), w, 1 / kinds)))
-    keys = np.array([(u << 42) | (v << 21) | w for u, v, w in c3])
-    tables, _ = kneser_ney.estimate(keys, np.array(list(c3.values())), kinds, 0.0)
-    model = kneser_ney.Model(number, tables, 0.0, 0.0)
-    for t in ("abc", "eeeee", "dab", "a"):
-        w = np.array([number[x] for x in t])
-        padded = [1, 1, *w.tolist()]
-        want = [math.log(p(*padded[i : i + 3])) for i in range(len(w))]
-        assert model.log_probabilities(np.array([len(w)]), w) == pytest.approx(want, abs=1e-4)
-    assert sum(p(2, 3, w) for w in (0, 2, 3, 4, 5, 6)) == pytest.approx(1.0)
+    counts = spark.createDataFrame([((u << 42) | (v << 21) | w, n) for (u, v, w), n in c3.items()], "key long, n long")
+    model = kneser_ney.estimate(counts, vocabulary, 4, head)
+    asked = ["a b c", "e e e e e", "d a b", "a", "a new b b word", "e d c b a a b c d e"]
+    got = model.sums(spark.createDataFrame(list(enumerate(asked)), "id long, text string"))
+    for r in got.collect():
+        padded = [bos, bos, *(number.get(x, unk) for x in asked[r.id].split())]
+        want = sum(math.log(p(*padded[i : i + 3])) - math.log(4) * (padded[i + 2] == unk) for i in range(len(padded) - 2))
+        assert r.n_words == len(padded) - 2 and r.log_p / 1e6 == pytest.approx(want, abs=1e-4)
+    trained = sum(n * math.log(p(*k)) for k, n in c3.items()) / c3.total()
+    assert model.mean_log == pytest.approx(trained, abs=1e-6)
+    assert sum(p(number["a"], number["b"], w) for w in (unk, *number.values())) == pytest.approx(1.0)
+
+
+def test_a_rare_language_takes_the_common_threshold(spark):
+    scores = spark.createDataFrame([("en", float(i)) for i in range(200)] + [("xx", 5.0)] * 3 + [(None, 7.0)], "lang string, perplexity double")
+    got = {r.lang: r.threshold for r in kneser_ney._thresholds(scores, 0.99, 100).collect()}
+    assert got.keys() == {"en", None} and kneser_ney._thresholds(scores, 0.99, 1).count() == 3
 
 
 def test_classifier_keeps_clean_text(spark, sf):
