@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,6 +33,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files that ``materialise`` wrote for ``df``, when nothing reads it any more; a frame that isn't plainly one of those is left alone."""
+    spark = df.sparkSession
+    folder = re.sub(r"^[a-z0-9]+:/*", "/", f"{shared_dir(spark)}/ravelin/")
+    roots = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for root in roots:
+        if re.sub(r"^[a-z0-9]+:/*", "/", root).startswith(folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_below(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint when the measured row count is within the limit, else the plain side (a shuffle join)."""
     return F.broadcast(df) if rows <= limit else df
