@@ -26,11 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later jobs start from the files, so the loss of an executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/ravelin/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: later jobs start from the files, so the loss of an executor costs no recomputation.
+
+    ``batch_rows`` bounds the rows of the Arrow batches that Python workers get meanwhile, where rows hold long texts."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ravelin/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_ARROW)
+    try:
+        if batch_rows is not None:
+            spark.conf.set(_ARROW, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
