@@ -28,6 +28,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hashes(df: DataFrame, *columns: str) -> tuple[list[str], list[Column]]:
+    """(names that ``df`` doesn't have, two 64-bit hashes of the columns): what stands for a row where texts aren't to be shuffled."""
+    names = [free_name(df, n) for n in ("row_hash_a", "row_hash_b")]
+    return names, [F.xxhash64(F.lit(n), *[F.col(f"`{c}`") for c in columns]).alias(name) for n, name in zip("ab", names, strict=True)]
+
+
 def hash_fraction(*columns: Column) -> Column:
     """A seeded-by-value number in [0, 1), the same on every run and cluster."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 32)) / float(1 << 32)
