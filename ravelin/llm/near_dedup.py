@@ -1,33 +1,35 @@
 """Near-duplicate groups by BagMinHash signatures, banding, and exact multiset overlap.
 
 Features are the 3-word shingles of the lower-cased words, with their counts as weights. The weight line of a feature is cut at
-1, 2, 4, 8, ...; each piece carries a Poisson process of rate 1 whose points have a time, a signature component and a
-mark that halves the piece again and again down to the point's place on the weight line. A document sees the points
-below its count, and each component keeps the earliest of them: two documents agree in a component with probability
-equal to their weighted Jaccard similarity, without bias (Ertl, BagMinHash, 2018). A piece is followed only to the time by
+1, 2, 4, 8, ...; each of these dyadic pieces carries a Poisson process of its own with a rate of its length, whose points have a time, a signature component and a
+32-bit mark, the point's place in the piece. A document sees the points below its count, and each component keeps the earliest of them: two documents agree in a component with probability
+equal to their weighted Jaccard similarity, without bias (after Ertl, BagMinHash, 2018; the hierarchy is one level of pieces, and the bits of the mark stand for
+all further halvings, which has the same law). A piece that begins at or above the count is never drawn. A piece is followed only to the time by
 which all components are expected to be filled, so a feature costs about one draw and not one for each component; a
 document with an unfilled component is drawn on to twice the time.
 
 Four components make a band. Documents that share a band are candidates; nothing caps a band. Identical multisets are
-put together first and only one of each goes on. Then, with the exact multiset Jaccard of the shingles as the judge:
+put together first and only the one with the least id goes on. Then, with the exact multiset Jaccard of the shingles as the judge:
 
 1. each document is compared with the least document of all its bands: in a group of copies nearly all end here;
 2. in bands whose documents are not yet all in one group, each document of another group with the band's least one;
-3. in bands that still hold several groups, every pair of documents of different groups.
+3. in bands that still hold several groups, the next ``_HUBS`` least documents with all of other groups, and so on in blocks until no band
+   holds several groups or has documents left. Groups are joined after each block, which ends most bands at once.
 
 So every candidate pair is either in one group already or compared. Groups are the connected components of the pairs
-that reach the threshold, and ``group_id`` is the least ``doc_id`` of the group.
+that reach the threshold, and ``group_id`` is the least ``doc_id`` of the group. No step collects a band or a group: least ids and
+counts are aggregated before the shuffle, and keys with more than a thousandth of all rows, of which there can't be more than a thousand, are joined by broadcast.
 
 Defined cases: texts without a word, and null texts, have no features: each is a group of its own and is kept; texts of one or
 two words have a single shingle; a null ``doc_id`` can't be named in a pair: such rows have a null group and are kept;
-rows that repeat a ``doc_id`` are one document, which matches what any of its texts matches, and one row of it is kept; an
+rows that repeat a ``doc_id`` are one document, which matches what any of its texts matches, and one row of it is kept: the one with
+the least hash of its text, then of all its columns; an
 empty table gives an empty result; extra columns are kept by ``near_dedup`` and ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ravelin.llm.common import INT, LONG, pick
+from ravelin.llm.common import LONG, free_name, pick
 from ravelin.plans.components import components
-from ravelin.plans.lineage import broadcast_below, materialise
+from ravelin.plans.lineage import broadcast_below, discard, materialise
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 24, 4, 0.5
 _WORD = re.compile(r"[^\W_]+")
-_CHUNK_CHARS, _BROADCAST_ROWS = 2_000_000, 1_000_000
+_CHUNK_CHARS, _BROADCAST_ROWS = 1_000_000, 1_000_000
+#: Documents of a band that are compared with all its others at once; a key is hot with more than one in _HOT rows; rows of a batch that hold texts.
+_HUBS, _HOT, _SALTS, _BATCH = 32, 1000, 32, 500
 _U = np.uint64
 
 
@@ -175,15 +179,13 @@ def _signed(texts: pd.Series) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"features": [], "digest_a": [], "digest_b": [], "bands": []})
 
 
-@lru_cache(maxsize=256)
-def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    _, item, count = multisets([text])
+def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    _, item, count = multisets([text or ""])
     return item, count
 
 
-def overlap(a: str | None, b: str | None) -> float:
-    """Multiset Jaccard similarity of the shingles; 0 without shingles."""
-    (ia, ca), (ib, cb) = _bag(a or ""), _bag(b or "")
+def _bag_overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    (ia, ca), (ib, cb) = a, b
     if not len(ia) or not len(ib):
         return 0.0
     at = np.minimum(np.searchsorted(ib, ia), len(ib) - 1)
@@ -191,61 +193,100 @@ def overlap(a: str | None, b: str | None) -> float:
     return float(both / (ca.sum() + cb.sum() - both))
 
 
+def overlap(a: str | None, b: str | None) -> float:
+    """Multiset Jaccard similarity of the shingles; 0 without shingles."""
+    return _bag_overlap(_bag(a), _bag(b))
+
+
 @F.pandas_udf(T.DoubleType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([overlap(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Rows come in order of ``a``, so its multiset is kept from row to row."""
+    out, text, bag = [], None, None
+    for x, y in zip(a, b, strict=True):
+        if bag is None or x != text:
+            text, bag = x, _bag(x)
+        out.append(_bag_overlap(bag, _bag(y)))
+    return pd.Series(out, dtype="float64")
+
 
+def _with_keys(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` (a row for each value of ``on``, with ``n``, the rows it has). Hot values, at most _HOT by their share, are joined by broadcast."""
+    hot, rest = keyed.where(F.col("n") * _HOT > total), keyed.where(F.col("n") * _HOT <= total)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(cold.join(rest, on))
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, written. The texts of documents that are in no pair are not shuffled when the ids fit a measured broadcast."""
+
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(the pairs (a, b), those that reach the threshold), written. The texts of documents that are in no pair are not shuffled when the ids fit a measured broadcast."""
     pairs = materialise(pairs, "near-pairs")
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids")
     wanted = texts.join(broadcast_below(ids, ids.count(), _BROADCAST_ROWS), "id", "left_semi")
     right = wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     left = wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").sortWithinPartitions("a")
-    return materialise(both.where(_overlap("text_a", "text_b") >= threshold).select("a", "b").distinct(), "near-verified")
+    found = materialise(both.where(_overlap("text_a", "text_b") >= threshold).select("a", "b").distinct(), "near-verified", _BATCH)
+    discard(ids)
+    return pairs, found
+
+
+def _least(members: DataFrame, hubs: int) -> DataFrame:
+    """key, x, lx: the ``hubs`` least documents of each band; first those of each salt, so that no task ranks a whole band."""
+    from pyspark.sql import Window
+
+    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS))
+    first = members.withColumn("_r", F.row_number().over(Window.partitionBy("key", salt).orderBy("id"))).where(F.col("_r") <= hubs)
+    own = first.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("_r") <= hubs)
+    return own.select("key", F.col("id").alias("x"), F.col("label").alias("lx"))
 
 
 def duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, group_id) of the ids in a group of several, and (id, rows) of every id; null ids are in neither."""
     texts = pick(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "text")
-    signed = materialise(texts.select("id", _signed("text").alias("s")).select("id", "s.*"), "near-signatures")
-    counts = signed.groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    rows = signed.where(F.col("features") > 0)
-    groups = rows.groupBy("features", "digest_a", "digest_b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.collect_set("id").alias("ids"))
-    groups = materialise(groups, "near-identical")
-    same = groups.where(F.size("ids") > 1).select(F.col("rep").alias("a"), F.explode("ids").alias("b")).where("a < b")
-
-    keyed = groups.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-    buckets = materialise(buckets.select("key", F.array_min("ids").alias("hub"), "ids").dropDuplicates(["ids"]), "near-buckets")
-    members = buckets.select("key", "hub", F.explode("ids").alias("id"))
+    signed = materialise(texts.select("id", _signed("text").alias("s")).select("id", "s.*"), "near-signatures", _BATCH)
+    counts = materialise(signed.groupBy("id").agg(F.count(F.lit(1)).alias("rows")), "near-ids")
+    rows, total = signed.where(F.col("features") > 0), signed.count()
+    same_text = ["features", "digest_a", "digest_b"]
+    reps = materialise(rows.groupBy(*same_text).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "near-identical")
+    several = reps.where("n > 1")
+    same = materialise(_with_keys(rows.select("id", *same_text), several, same_text, total).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "near-same")
+
+    # of a group only the row of the least id has its bands looked at; rows of others are no key of the join
+    lone = rows.join(several.select(*same_text, "rep").hint("shuffle_hash"), [*(rows[c].eqNullSafe(several[c]) for c in same_text), rows["id"] == several["rep"]], "left_semi")
+    first = rows.join(same.select(F.col("b").alias("id")).distinct(), "id", "left_anti").unionByName(lone).select("id", "bands")
+    keyed = materialise(first.select("id", F.explode("bands").alias("key")).distinct(), "near-keys")
+    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), F.col("id")))
+    bands = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n"), mark("a").alias("xa"), mark("b").alias("xb")).where("n > 1")
+    # bands with the same documents (by two 64-bit sums) are one
+    bands = materialise(bands.groupBy("hub", "n", "xa", "xb").agg(F.min("key").alias("key")).select("key", "hub", "n"), "near-bands")
+    members = materialise(_with_keys(keyed, bands, ["key"], keyed.count()).select("key", "hub", "id"), "near-members")
+    for done in (reps, keyed):
+        discard(done)
 
     hubs = members.groupBy("id").agg(F.min("hub").alias("hub")).where("hub < id")
-    tested = hubs.select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    edges = same.union(_verify(tested, texts, threshold))
+    tested, found = _verify(hubs.select(F.col("hub").alias("a"), F.col("id").alias("b")), texts, threshold)
+    edges = same.union(found)
     labels = components(edges)
 
-    def split() -> DataFrame:
-        """Members of the bands that hold several groups, with their labels."""
-        known = members.join(labels, "id", "left").select("key", "hub", "id", F.coalesce("label", "id").alias("label"))
-        mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return materialise(known.join(mixed, "key", "left_semi"), "near-mixed")
-
-    for every in (False, True):
-        mixed = split()
+    left, size = members.select("key", "id"), 1
+    while True:
+        known = materialise(left.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "near-labelled")
+        mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+        mixed = materialise(mixed, "near-mixed")
         if mixed.isEmpty():
             break
-        y = mixed.select("key", F.col("id").alias("y"), F.col("label").alias("ly"))
-        x = mixed.select("key", F.col("id").alias("x"), F.col("label").alias("lx"))
-        x = x if every else x.join(mixed.select("key", F.col("hub").alias("x")).distinct(), ["key", "x"], "left_semi")
-        new = x.join(y, "key").where((F.col("lx") != F.col("ly")) & ((F.col("x") < F.col("y")) if every else F.lit(True)))
-        new = new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = materialise(new, "near-new-pairs")
-        tested = tested.union(new)
-        edges = edges.union(_verify(new, texts, threshold))
+        open_ = _with_keys(known, mixed, ["key"], known.count()).select("key", "id", "label")
+        x = materialise(_least(open_, size), "near-hubs")
+        tops = x.groupBy("key").agg(F.max("x").alias("top"), F.collect_list(F.struct("x", "lx")).alias("xs"))  # at most _HUBS of each band
+        met = _with_keys(open_, mixed.join(tops, "key"), ["key"], known.count())
+        met = met.select("key", "id", "label", F.explode("xs").alias("h")).where((F.col("h.x") < F.col("id")) & (F.col("h.lx") != F.col("label")))
+        new = met.select(F.col("h.x").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        new, found = _verify(new, texts, threshold)
+        tested, edges = tested.union(new), edges.union(found)
         labels = components(edges)
+        left = materialise(_with_keys(open_, mixed.join(tops.select("key", "top"), "key"), ["key"], known.count()).where(F.col("id") > F.col("top")).select("key", "id"), "near-left")
+        for done in (known, mixed, x):
+            discard(done)
+        size = _HUBS
     return labels.select(F.col("id").alias("doc_id"), F.col("label").alias("group_id")), counts
 
 
@@ -263,12 +304,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group and all columns."""
     groups, counts = duplicate_groups(docs, threshold, id_col, text_col)
-    gone = materialise(groups.where("group_id < doc_id").select(F.col("doc_id").alias("_gone")), "near-gone")
-    kept = docs.join(broadcast_below(gone, gone.count(), _BROADCAST_ROWS), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    if counts.where("rows > 1").isEmpty():
+    own = F.col(f"`{id_col}`").cast("long")
+    key, a, b = (free_name(docs, n) for n in ("group_key", "first_text", "first_row"))
+    gone = materialise(groups.where("group_id < doc_id").select(F.col("doc_id").alias(key)), "near-gone")
+    kept = docs.join(broadcast_below(gone, gone.count(), _BROADCAST_ROWS), own == F.col(key), "left_anti")
+    again = counts.where("rows > 1")
+    if again.isEmpty():
         return kept
-    named = kept.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
+    # one row of a repeated id: the least (hash of the text, hash of the row); what still ties is the same row
+    marked = kept.withColumns({a: F.xxhash64(F.col(f"`{text_col}`")), b: F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))})
+    best = marked.where(own.isNotNull()).groupBy(own.alias(key)).agg(F.min(F.struct(F.col(a), F.col(b))).alias("m")).select(key, F.col(f"m.{a}").alias(f"{a}_least"), F.col(f"m.{b}").alias(f"{b}_least"))
+    best = materialise(best.join(again.select(F.col("id").alias(key)), key, "left_semi"), "near-first")
+    n = best.count()
+    single = kept.join(broadcast_below(best.select(key), n, _BROADCAST_ROWS), own == F.col(key), "left_anti")
+    chosen = marked.join(broadcast_below(best, n, _BROADCAST_ROWS), (own == F.col(key)) & (F.col(a) == F.col(f"{a}_least")) & (F.col(b) == F.col(f"{b}_least")), "left_semi")
+    return single.unionByName(chosen.drop(a, b).dropDuplicates([id_col]))
 
 
 def op7_near_dedup(spark, sf_dir):
