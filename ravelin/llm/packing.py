@@ -8,8 +8,9 @@ single document if it is as long as any two that fit, or the best pair if that p
 fixed leaves the instance, and passes repeat until nothing is. Best-fit decreasing packs the remainder. All this
 works on counts of lengths, so many documents of one length cost no more than one.
 
-Documents are spread over shards of about ``shard_tokens`` tokens by a hash of their id; bins don't cross shards, so a shard is
-one task of fixed size and more data gives more shards. Documents beyond the capacity are cut: full pieces are bins of
+Lengths are byte-pair tokens of the whole text (``vocabulary``: a rank file; None counts runs of non-blanks), so a bin fits a context of
+``capacity`` tokens, and ``start`` is the piece's first token. Documents are spread over shards of about ``shard_tokens`` tokens by a hash of their id, text and copy; bins don't cross shards, so a shard is
+one task of fixed size and more data gives more shards, also when one row is repeated without end. Documents beyond the capacity are cut: full pieces are bins of
 their own and the rest is packed as an item.
 
 Defined cases: null and empty texts have no tokens and one row with a null bin; documents of equal length are taken by ``doc_id``
@@ -26,8 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm.common import INT, LONG, pick, schema, word_count
+from ravelin.llm.token_counts import VOCABULARY, token_count_column
+from ravelin.plans.lineage import materialise
 
 CAPACITY, SHARD_TOKENS = 2048, 4_000_000
+_COPIES, _BATCH = 1000, 1000
 
 
 class _Lengths:
@@ -183,15 +187,20 @@ def _pack_shard(capacity: int):
     return pack
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = VOCABULARY) -> DataFrame:
     """shard, bin (numbered in its shard), doc_id, piece, start, n_tokens: a row for each piece of each document."""
-    from ravelin.plans.lineage import materialise
-
-    own = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("tie"))
-    own = materialise(own, "pack-lengths")
+    own = pick(docs, doc_id=id_col, text=text_col)
+    n = token_count_column(docs.sparkSession, F.col("text"), vocabulary) if vocabulary else word_count(F.col("text"))
+    own = materialise(own.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"), F.xxhash64("text").alias("tie")), "pack-lengths", _BATCH)
     total = own.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    placed = own.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    # copies of a row are numbered in blocks, so that a row which is a third of the table is spread before it is written out
+    same = own.groupBy("doc_id", "n", "tie").agg(F.count(F.lit(1)).alias("k"))
+    blocks = same.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("k") - 1) / _COPIES))))
+    blocks = blocks.repartition("doc_id", "tie", "b")
+    last = F.least(F.col("k"), (F.col("b") + 1) * _COPIES) - 1
+    each = blocks.select("doc_id", "n", "tie", F.explode(F.sequence(F.col("b") * _COPIES, last)).alias("copy"))
+    placed = each.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie", "copy"), F.lit(shards))).drop("copy")
     return placed.groupBy("shard").applyInPandas(_pack_shard(capacity), schema(shard=LONG, bin=LONG, doc_id=LONG, piece=INT, start=LONG, n_tokens=LONG))
 
 

@@ -93,6 +93,18 @@ def _shared_encoder(spark, path: str):
     return get
 
 
+def token_count_column(spark, text, vocabulary: str = VOCABULARY):
+    """Tokens of each whole text, 0 for null; the text is encoded in Arrow batches in the scan's stage."""
+    encoder = _shared_encoder(spark, vocabulary)
+
+    @F.pandas_udf(LONG)
+    def count(texts: pd.Series) -> pd.Series:
+        enc = encoder().encoding
+        return pd.Series([len(enc.encode_to_numpy(t, disallowed_special=())) if isinstance(t, str) else 0 for t in texts], dtype="int64")
+
+    return count(text)
+
+
 def section_token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "start", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, section (from 0), first_byte, n_bytes, n_tokens (a double under the rule ``share``), a row for each line of each text."""
     if rule not in RULES:
