@@ -7,13 +7,17 @@ is the number of seats it would then have: integer quotas that stay close to the
 gets no further seat and the seats go on to the next quotients; with a large budget availability, not the weights, then
 decides the mix, and ``realised_shares`` reports by how much. The blocks that fill a quota are drawn by a seeded hash.
 
+Tokens are byte-pair tokens of the whole text (``vocabulary``: a rank file; None counts runs of non-blanks, which SQL can do too). They are counted
+in one scan, and from then on a document is its id, source, length and hashes: no text is shuffled, but by ``mix`` when those that aren't drawn
+are too many to be broadcast (they are counted first).
+
 A shard holds about ``shard_docs`` documents whatever the corpus, so the windows stay small and there are more of them when
-there is more data. Quotas are worked out on (shard, source) totals; the documents are shuffled once, by (shard, source), for
-their order, and the chosen blocks are joined in on the same keys.
+there is more data; it follows from the id and the text, so that many rows of one id are spread. Quotas are worked out on (shard, source) totals.
 
 Defined cases: sources without a weight take ``default_weight``; weight 0 or less: never chosen; a null source is a
 source of its own, shown as null; null and empty texts have no tokens and are not selected; quotients that tie go by
-source name (null first), documents that tie by ``doc_id`` and text; repeated rows are documents of their own; an empty
+source name (null first), documents that tie by ``doc_id`` and text; rows that repeat id, source and text count each, are put together in the
+block of the first and drawn or not together; an empty
 table gives an empty result; extra columns are kept by ``mix`` and ignored by ``mixing_decisions``.
 """
 
@@ -22,9 +26,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import free_name, pick, word_count
+from ravelin.llm.common import pick, row_hashes, word_count
+from ravelin.llm.token_counts import VOCABULARY, token_count_column
+from ravelin.plans.lineage import broadcast_below, materialise
 
 SEED, SHARD_DOCS, BLOCK_TOKENS, BUDGET, DEFAULT_WEIGHT = 7, 4000, 4096, 0.9, 2.0
+_BATCH, _BROADCAST_ROWS = 1000, 1_000_000
 #: Target weights; a source that isn't named has the default.
 WEIGHTS = {"src0": 3.0, "src3": 1.0, "src7": 4.0}
 
@@ -35,11 +42,20 @@ def _hash32(*parts):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str | None, *carried) -> DataFrame:
+    """_id, _source, _tokens, _tie and what is carried, for each row, written."""
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    n = token_count_column(docs.sparkSession, text, vocabulary) if vocabulary else word_count(text)
+    return materialise(docs.select(own.alias("_id"), F.col(f"`{source_col}`").alias("_source"), n.alias("_tokens"), F.md5(F.coalesce(text, F.lit(""))).alias("_tie"), *carried), "mix-lengths", _BATCH)
+
+
 def _decide(rows: DataFrame, weights: dict[str, float], default_weight: float, budget: float, block_tokens: int, seed: int, shard_docs: int) -> DataFrame:
-    """``rows`` has _id, _source, _tokens and _tie besides whatever is carried along; adds _shard, _block, _selected."""
+    """A row for each different row of ``rows``; adds _copies, _shard, _block, _selected."""
     n = rows.count()
     shards = max(1, -(-n // shard_docs))
-    placed = rows.withColumns({"_shard": _hash32(F.lit(seed), F.lit("shard"), F.col("_id")) % shards, "_order": _hash32(F.lit(seed), F.lit("order"), F.col("_id"))})
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.withColumns({"_each": F.col("_tokens"), "_tokens": F.col("_tokens") * F.col("_copies")})
+    placed = rows.withColumns({"_shard": _hash32(F.lit(seed), F.lit("shard"), F.col("_id"), F.col("_tie")) % shards, "_order": _hash32(F.lit(seed), F.lit("order"), F.col("_id"))})
     group = ["_shard", "_skey"]
     placed = placed.withColumn("_skey", F.concat(F.lit("s"), F.coalesce("_source", F.lit(""))))
     placed = placed.withColumn("_skey", F.when(F.col("_source").isNull(), F.lit("")).otherwise(F.col("_skey")))
@@ -61,23 +77,24 @@ def _decide(rows: DataFrame, weights: dict[str, float], default_weight: float, b
     chosen = drawn.groupBy(*group).agg(F.collect_set("b").alias("_chosen"))
     out = blocks.join(chosen, group, "left")
     hit = F.coalesce(F.array_contains("_chosen", F.col("_block")), F.lit(False)) & (F.col("_tokens") > 0)
-    return out.withColumn("_selected", hit).drop("_chosen")
+    return out.withColumn("_selected", hit).drop("_chosen", "_tokens").withColumnRenamed("_each", "_tokens")
 
 
-def mixing_decisions(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixing_decisions(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str | None = VOCABULARY) -> DataFrame:
     """doc_id, source, n_tokens, shard, block, selected, a row for each document."""
-    own = pick(docs, _id=id_col, _source=source_col, _text=text_col)
-    own = own.select("_id", "_source", word_count(F.col("_text")).alias("_tokens"), F.md5(F.coalesce("_text", F.lit(""))).alias("_tie"))
+    own = _lengths(docs, id_col, text_col, source_col, vocabulary)
     done = _decide(own, WEIGHTS if weights is None else weights, default_weight, budget, block_tokens, seed, shard_docs)
+    done = done.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return done.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_shard").alias("shard"), F.col("_block").alias("block"), F.col("_selected").alias("selected"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, shard_docs: int = SHARD_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str | None = VOCABULARY) -> DataFrame:
     """The selected documents with all their columns."""
-    whole = free_name(docs, "row")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), *[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "_id"), (source_col, "_source"))], word_count(F.col(f"`{text_col}`")).alias("_tokens"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_tie"))
+    names, hashes = row_hashes(docs, id_col, text_col, source_col)
+    own = _lengths(docs, id_col, text_col, source_col, vocabulary, *hashes)
     done = _decide(own, WEIGHTS if weights is None else weights, default_weight, budget, block_tokens, seed, shard_docs)
-    return done.where("_selected").select(f"{whole}.*")
+    out = materialise(done.where(~F.col("_selected")).select(*names).distinct(), "mix-left-out")
+    return docs.select("*", *hashes).join(broadcast_below(out, out.count(), _BROADCAST_ROWS), names, "left_anti").drop(*names)
 
 
 def realised_shares(decisions: DataFrame, weights: dict[str, float] | None = None, default_weight: float = DEFAULT_WEIGHT) -> DataFrame:
@@ -98,6 +115,11 @@ def op6_mixing(spark, sf_dir):
     return mixing_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def mixing_by_words(spark, sf_dir):
+    """The same apportionment over counts of words, which SQL can state."""
+    return mixing_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary=None)
+
+
 def _sql_hash(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 
@@ -106,11 +128,11 @@ _CASES = " ".join(f"WHEN '{s}' THEN {w}" for s, w in WEIGHTS.items())
 
 
 def mixing_sql(docs: str = "documents") -> str:
-    """The same decisions in SQL, over a relation with doc_id, text and source."""
+    """The same decisions by words in SQL, over a relation with doc_id, text and source."""
     return rf"""
 WITH n AS (SELECT greatest(1, ceil(count(*) / {SHARD_DOCS}.0))::BIGINT AS shards FROM {docs}),
 d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '\S+')), 0)::BIGINT AS n_tokens, md5(coalesce(text, '')) AS tie,
-             {_sql_hash(str(SEED), "'shard'", "coalesce(doc_id::VARCHAR, '')")} % shards AS shard, {_sql_hash(str(SEED), "'order'", "coalesce(doc_id::VARCHAR, '')")} AS o,
+             {_sql_hash(str(SEED), "'shard'", "coalesce(doc_id::VARCHAR, '')", "md5(coalesce(text, ''))")} % shards AS shard, {_sql_hash(str(SEED), "'order'", "coalesce(doc_id::VARCHAR, '')")} AS o,
              CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS skey FROM {docs}, n),
 b AS (SELECT *, floor((sum(n_tokens) OVER (PARTITION BY shard, skey ORDER BY o, doc_id NULLS FIRST, tie ROWS UNBOUNDED PRECEDING) - n_tokens) / {BLOCK_TOKENS}.0)::BIGINT AS block FROM d),
 t AS (SELECT shard, skey, any_value(source) AS s, ceil(sum(n_tokens) / {BLOCK_TOKENS}.0)::BIGINT AS avail FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
@@ -125,5 +147,5 @@ FROM b LEFT JOIN c ON b.shard = c.shard AND b.skey = c.skey AND b.block = c.b AN
 """
 
 
-QUERIES = {"op6_mixing": op6_mixing}
-SQL = {"op6_mixing": mixing_sql()}
+QUERIES = {"op6_mixing": op6_mixing, "mixing_by_words": mixing_by_words}
+SQL = {"mixing_by_words": mixing_sql()}
