@@ -2,14 +2,15 @@
 
 Each document has a handful of statistics, all built-in Spark expressions over its whole text. From labelled documents (at most
 ``max_fit_rows`` of them, a documented bound, by a hash of the id) rules are learned one after another: a rule is grown as a
-conjunction of thresholds, each the one with the best gain on the growing part; it is then pruned from its end to the
+conjunction of at most ``max_conditions`` thresholds (4), each the one with the best gain on the growing part, out of all that part two values; it is then pruned from its end to the
 length that does best on the part held back for pruning; it stays if it covers enough bad documents there with enough
-precision; what it covers is taken out and the next rule is learned. The list is emitted as CASE WHEN ... in that
+precision; what it covers is taken out and the next rule is learned, ``max_rules`` (24) at most. Limits on rules and conditions are those of the fitted list; they
+don't depend on the data's size, and the rest is what no rule rejects. The list is emitted as CASE WHEN ... in that
 order, so it runs in the scan's own stage: no shuffle and no Python.
 
 Defined cases: null texts count as empty, and an empty text has the statistics 0, or 1 for the distinct shares; such rows go
 through the rules like any other; labels with nulls are no evidence, and a document labelled both ways counts as bad;
-without bad or without good labels there are no rules and all is kept; examples that tie are taken by id; repeated
+without bad or without good labels there are no rules and all is kept; examples that tie are taken by id, of thresholds with equal gain the first statistic and the lowest threshold wins; repeated
 rows give repeated rows; a null ``doc_id`` is carried along; an empty table gives an empty result; extra columns are kept
 by ``keep_passing`` and ignored by ``rule_decisions``.
 """
@@ -92,8 +93,6 @@ def _best_condition(x: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarra
         edge = np.flatnonzero(v[1:] != v[:-1])
         if not len(edge):
             continue
-        if len(edge) > 256:
-            edge = edge[np.linspace(0, len(edge) - 1, 256).astype(int)]
         p_low, n_low = np.cumsum(b)[edge], np.cumsum(~b)[edge]
         middle = (v[edge] + v[edge + 1]) / 2
         for above, p, n in ((False, p_low, n_low), (True, p0 - p_low, n0 - n_low)):
