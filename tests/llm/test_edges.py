@@ -47,7 +47,10 @@ def test_a_row_for_each_row(name, odd, labels):
 
 def test_packing_and_tokens_cover_all(odd):
     got = packing.pack(odd).collect()
-    assert sum(r.n_tokens for r in got) == sum(len((r[1] or "").split()) for r in ROWS)
+    enc = token_counts.Encoder(token_counts.read_ranks(token_counts.VOCABULARY))
+    assert sum(r.n_tokens for r in got) == sum(len(enc.spans(r[1])[0]) for r in ROWS if r[1])
+    by_words = packing.pack(odd, vocabulary=None).collect()
+    assert sum(r.n_tokens for r in by_words) == sum(len((r[1] or "").split()) for r in ROWS)
     assert [r.bin for r in got if r.doc_id == 90] == [None] and sum(r.doc_id == 94 for r in got) == 2
     assert packing.pack(odd.limit(0)).count() == 0
     t = token_counts.section_token_counts(odd)
@@ -55,6 +58,21 @@ def test_packing_and_tokens_cover_all(odd):
     assert token_counts.section_token_counts(odd.limit(0)).count() == 0
 
 
+def test_an_unbroken_text(spark, labels):
+    """A third of a million signs without a blank, and as many blanks."""
+    d = docs(spark, [(1, "ab" * 150_000, "en", "s"), (2, " " * 300_000, "en", "s"), (3, "\n" * 100_000, "en", "s"), (4, prose(1, 30), "en", "s")])
+    for name, f in OPERATORS.items():
+        assert f(d, labels).count() == 4, name
+    assert {r.doc_id for r in packing.pack(d).collect()} == {1, 2, 3, 4} and near_dedup.near_duplicates(d).where("keep").count() == 4
+    assert token_counts.section_token_counts(d).count() == 100_003
+
+
+def test_packing_spreads_copies(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_COPIES", 7)
+    got = packing.pack(docs(spark, [(5, prose(5, 40), "en", "s")] * 50 + [(6, prose(6, 40), "en", "s")]), capacity=256, shard_tokens=600).collect()
+    assert sum(r.doc_id == 5 for r in got) == 50 and len({r.shard for r in got}) > 3
+
+
 def test_near_dedup_edges(odd):
     got = near_dedup.near_duplicates(odd)
     rows = got.collect()

@@ -85,7 +85,8 @@ def test_dominance_keeps_the_optimum():
 def test_packing_round_trip(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     rows = packing.pack(d, capacity=128, shard_tokens=20_000).collect()
-    size = {r.doc_id: len(r.text.split()) for r in d.collect()}
+    encoder = token_counts.Encoder(token_counts.read_ranks(token_counts.VOCABULARY))
+    size = {r.doc_id: len(encoder.spans(r.text)[0]) for r in d.collect()}
     pieces, bins = {}, Counter()
     for r in rows:
         pieces.setdefault(r.doc_id, []).append((r.start, r.n_tokens))
@@ -183,9 +184,43 @@ def test_mixing_quotas(spark):
     assert {r.doc_id for r in mixing.mix(d, weights, budget=0.4, block_tokens=200, shard_docs=10_000).collect()} == {r.doc_id for r in got if r.selected}
 
 
+def test_mixing_by_tokens_against_brute_force(spark, sf):
+    """The registered query: tokens by the encoder, blocks by walking the documents, seats one by one, the seeded draw."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    enc = token_counts.Encoder(token_counts.read_ranks(token_counts.VOCABULARY))
+    h32 = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    size = mixing.BLOCK_TOKENS
+    by = {}
+    for r in d.collect():
+        by.setdefault(r.source, []).append((h32(mixing.SEED, "order", r.doc_id), r.doc_id, len(enc.spans(r.text)[0]) if r.text else 0))
+    block, avail = {}, {}
+    for source, rows in by.items():
+        at = 0
+        for _, doc_id, n in sorted(rows):
+            block[doc_id] = (source, at // size, n)
+            at += n
+        avail[source] = -(-at // size)
+    quota = Counter()
+    for _ in range(math.floor(sum(avail.values()) * mixing.BUDGET)):
+        weight = lambda s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT)
+        quota[min((s for s in avail if quota[s] < avail[s]), key=lambda s: (-weight(s) / (2 * quota[s] + 1), s))] += 1
+    drawn = {(s, b) for s in avail for b in sorted(range(avail[s]), key=lambda b: (h32(mixing.SEED, "draw", 0, f"s{s}", b), b))[: quota[s]]}
+    got = mixing.QUERIES["op6_mixing"](spark, sf).collect()
+    assert len(got) == len(block) and {r.doc_id: (r.source, r.block, r.n_tokens) for r in got} == block
+    assert all(r.selected == ((r.source, r.block) in drawn and r.n_tokens > 0) for r in got)
+
+
+def test_mixing_of_repeated_rows(spark):
+    rows = [(i // 3, prose(i // 3, 30), "en", "s") for i in range(60)] + [(7, prose(99, 30), "en", "s")]
+    got = mixing.mixing_decisions(docs(spark, rows), budget=0.5, block_tokens=400).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    kept = Counter(r.doc_id for r in mixing.mix(docs(spark, rows), budget=0.5, block_tokens=400).collect())
+    assert kept == Counter(r.doc_id for r in got if r.selected) and all(n in (1, 3, 4) for n in kept.values())
+
+
 def test_realised_shares_with_production_parameters(spark):
     hot = ["src4"] * 40 + [f"src{i}" for i in (0, 3, 7, 9) for _ in range(10)]
-    got = mixing.mixing_decisions(docs(spark, [(i, prose(i, 2_000), "en", s) for i, s in enumerate(hot)]))
+    got = mixing.mixing_decisions(docs(spark, [(i, prose(i, 2_000), "en", s) for i, s in enumerate(hot)]), vocabulary=None)  # by words, so that each block has a document's begin
     weights = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT) for s in set(hot)}
     rows = got.collect()
     avail = {s: -(-sum(r.n_tokens for r in rows if r.source == s) // 4096) for s in weights}
@@ -216,7 +251,11 @@ def test_signatures_estimate_weighted_jaccard():
         assert abs((sig[0] == sig[1]).mean() - truth) < 4 * math.sqrt(truth * (1 - truth) / 4096)
 
 
-def test_near_duplicates_against_all_pairs(spark, sf):
+@pytest.mark.parametrize("hot, hubs", [(near_dedup._HOT, near_dedup._HUBS), (3, 1)])
+def test_near_duplicates_against_all_pairs(spark, sf, monkeypatch, hot, hubs):
+    """Also with every key hot, and with bands taken up one document at a time."""
+    monkeypatch.setattr(near_dedup, "_HOT", hot if hot > 3 else 100_000)
+    monkeypatch.setattr(near_dedup, "_HUBS", hubs)
     d = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r.doc_id: r.text for r in d.collect()}
     bags = {i: Counter(zip(*(near_dedup.shingle_hashes([t])[1].tolist(),), strict=True)) for i, t in text.items()}
@@ -234,6 +273,12 @@ def test_near_duplicates_against_all_pairs(spark, sf):
     assert all(root[i] == root[g] for i, g in group.items())
 
 
+def test_a_repeated_id_keeps_the_same_row_every_time(spark):
+    rows = [(1, prose(1, 50), "en", "s"), (1, prose(2, 50), "en", "s"), (1, prose(2, 50), "de", "s"), (2, prose(3, 50), "en", "s"), (2, prose(3, 50), "en", "s")]
+    got = [sorted(map(tuple, near_dedup.near_dedup(docs(spark, rows[::step]).repartition(n)).collect()), key=str) for step, n in ((1, 1), (-1, 5))]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 2]
+
+
 # 8
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_attribution(spark, sf, rule):
