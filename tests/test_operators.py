@@ -87,8 +87,9 @@ def test_components_against_union_find(spark):
         if a != b:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-    got = {r.id: r.label for r in components(spark.createDataFrame(pairs, "a int, b int")).collect()}
-    assert got == {x: root(x) for x in parent}
+    for one_task in (0, 500_000):
+        got = {r.id: r.label for r in components(spark.createDataFrame(pairs, "a int, b int"), one_task=one_task).collect()}
+        assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
