@@ -12,8 +12,7 @@ Four components make a band. Documents that share a band are candidates; nothing
 put together first and only the one with the least id goes on. Then, with the exact multiset Jaccard of the shingles as the judge:
 
 1. each document is compared with the least document of all its bands: in a group of copies nearly all end here;
-2. in bands whose documents are not yet all in one group, each document of another group with the band's least one;
-3. in bands that still hold several groups, the next ``_HUBS`` least documents with all of other groups, and so on in blocks until no band
+2. in bands whose documents are not yet all in one group, the ``_HUBS`` least documents with all of other groups, and so on in blocks of the next least until no band
    holds several groups or has documents left. Groups are joined after each block, which ends most bands at once.
 
 So every candidate pair is either in one group already or compared. Groups are the connected components of the pairs
@@ -44,8 +43,8 @@ from ravelin.plans.lineage import broadcast_below, discard, materialise
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 24, 4, 0.5
 _WORD = re.compile(r"[^\W_]+")
 _CHUNK_CHARS, _BROADCAST_ROWS = 1_000_000, 1_000_000
-#: Documents of a band that are compared with all its others at once; a key is hot with more than one in _HOT rows; rows of a batch that hold texts.
-_HUBS, _HOT, _SALTS, _BATCH = 32, 1000, 32, 500
+#: Documents of a band that are compared with all its others at once, the first time and later; a key is hot with more than one in _HOT rows; rows of a batch that hold texts.
+_HUBS, _HOT, _SALTS, _BATCH = (8, 64), 1000, 32, 500
 _U = np.uint64
 
 
@@ -267,26 +266,27 @@ def duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     edges = same.union(found)
     labels = components(edges)
 
-    left, size = members.select("key", "id"), 1
+    left, size = members.select("key", "id"), _HUBS[0]
     while True:
         known = materialise(left.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "near-labelled")
         mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
         mixed = materialise(mixed, "near-mixed")
         if mixed.isEmpty():
             break
-        open_ = _with_keys(known, mixed, ["key"], known.count()).select("key", "id", "label")
+        n = known.count()
+        open_ = _with_keys(known, mixed, ["key"], n).select("key", "id", "label")
         x = materialise(_least(open_, size), "near-hubs")
         tops = x.groupBy("key").agg(F.max("x").alias("top"), F.collect_list(F.struct("x", "lx")).alias("xs"))  # at most _HUBS of each band
-        met = _with_keys(open_, mixed.join(tops, "key"), ["key"], known.count())
+        met = _with_keys(open_, mixed.join(tops, "key"), ["key"], n)
         met = met.select("key", "id", "label", F.explode("xs").alias("h")).where((F.col("h.x") < F.col("id")) & (F.col("h.lx") != F.col("label")))
         new = met.select(F.col("h.x").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         new, found = _verify(new, texts, threshold)
         tested, edges = tested.union(new), edges.union(found)
         labels = components(edges)
-        left = materialise(_with_keys(open_, mixed.join(tops.select("key", "top"), "key"), ["key"], known.count()).where(F.col("id") > F.col("top")).select("key", "id"), "near-left")
+        left = materialise(_with_keys(open_, mixed.join(tops.select("key", "top"), "key"), ["key"], n).where(F.col("id") > F.col("top")).select("key", "id"), "near-left")
         for done in (known, mixed, x):
             discard(done)
-        size = _HUBS
+        size = _HUBS[1]
     return labels.select(F.col("id").alias("doc_id"), F.col("label").alias("group_id")), counts
 
 

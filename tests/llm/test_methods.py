@@ -251,7 +251,7 @@ def test_signatures_estimate_weighted_jaccard():
         assert abs((sig[0] == sig[1]).mean() - truth) < 4 * math.sqrt(truth * (1 - truth) / 4096)
 
 
-@pytest.mark.parametrize("hot, hubs", [(near_dedup._HOT, near_dedup._HUBS), (3, 1)])
+@pytest.mark.parametrize("hot, hubs", [(near_dedup._HOT, near_dedup._HUBS), (3, (1, 1))])
 def test_near_duplicates_against_all_pairs(spark, sf, monkeypatch, hot, hubs):
     """Also with every key hot, and with bands taken up one document at a time."""
     monkeypatch.setattr(near_dedup, "_HOT", hot if hot > 3 else 100_000)
