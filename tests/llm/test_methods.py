@@ -36,6 +36,49 @@ def test_language_accuracy_and_mixed_text(spark, sf):
     assert text[spans[-1].start : spans[-1].end] == "Привет мир Привет мир Привет мир"
 
 
+def test_trigram_scores_against_the_formula(spark):
+    """A plain interpolation by dictionaries, for words known and new."""
+    texts = [(1, "banana band bandana nab", "xx"), (2, "cabana cab dab banal", "yy"), (3, "баба дед", "zz")]
+    model = language_id.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    counts = {}
+    for _, t, lang in texts:
+        c = counts.setdefault(lang, Counter())
+        for w in t.split():
+            s = f"\n\n{w}\n"
+            c.update(s[i : i + 3] for i in range(len(s) - 2))
+    for word in ("banana", "cab", "zebra", "nn"):
+        got = model.score([word, "дед"])[0]
+        for i, lang in enumerate(model.trained):
+            c, want = counts[lang], 0.0
+            part = lambda at, x, c=c: sum(n for g, n in c.items() if g[at] == x)
+            s = f"\n\n{word}\n"
+            for k in range(len(s) - 2):
+                g = s[k : k + 3]
+                p1 = (part(slice(2, 3), g[2]) + 0.5) / (c.total() + 0.5 * (len({x[2] for x in c}) + 1))
+                p2 = (part(slice(1, 3), g[1:]) + 4 * p1) / (part(slice(1, 2), g[1]) + 4)
+                want += math.log((c[g] + 4 * p2) / (part(slice(0, 2), g[:2]) + 4))
+            assert got[i] == pytest.approx(want if lang != "zz" else want - 1e4, abs=1e-3)
+
+
+def test_three_hundred_languages_of_many_scripts(spark):
+    """More languages than a byte counts, more letters than an alphabet holds; ties go to the first in the alphabet."""
+    rnd = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    rows, words = [], {}
+    for k in range(300):
+        letters = rnd.sample(han, 40) if k % 3 == 0 else rnd.sample("abcdefghijklmnopqrstuvwxyzäöüéèñçåøß", 12) if k % 3 == 1 else rnd.sample([chr(0x0C05 + i) for i in range(40)], 15)
+        own = ["".join(rnd.choice(letters) for _ in range(6)) for _ in range(60)]
+        words[f"l{k:03}"] = own
+        rows.append((k, " ".join(own * 3), f"l{k:03}"))
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = docs(spark, [(k, " ".join(own[:20]), "", "s") for k, own in enumerate(words.values())] + [(900, "𐌰𐌱𐌲 ગુજરાતી ગુજરાતી", "", "s")])
+    got = {r.doc_id: r for r in language_id.language_spans(asked, model).collect()}
+    assert len(model.states) > 300 and sum(got[k].lang == f"l{k:03}" for k in range(300)) >= 297
+    assert got[900].lang == "gu" and [s.lang for s in got[900].spans][0] == "und"
+    twins = language_id.fit(spark.createDataFrame([(1, "abc abd", "q"), (2, "abc abd", "p")], "doc_id long, text string, lang string"))
+    assert language_id.language_spans(docs(spark, [(1, "abc abd", "", "s")]), twins).first().lang == "p"
+
+
 # 2
 def test_rules_are_found_and_sql_agrees(spark):
     rnd = random.Random(4)
@@ -53,6 +96,41 @@ def test_rules_are_found_and_sql_agrees(spark):
     assert [r.rule or 0 for r in got] == first.tolist()
 
 
+def test_growing_and_pruning_against_a_naive_learner():
+    """Conditions by trying every threshold row by row; the pruned beginning by trying each; ties to the first statistic and the lowest threshold."""
+    rnd = np.random.default_rng(3)
+    for _ in range(20):
+        x = {n: rnd.integers(0, 9, 60).astype(float) for n in ("a", "b")}
+        bad = (x["a"] > 5) & (x["b"] < 4) | (rnd.random(60) < 0.1)
+        inside, rule = np.ones(60, bool), ()
+        while len(rule) < 4 and (bad & inside).any() and (~bad & inside).any():
+            base, best, found = math.log2((bad & inside).sum() / inside.sum()), 1e-9, None
+            for name in x:
+                values = sorted(set(x[name][inside]))
+                for above in (False, True):
+                    for lo, hi in zip(values, values[1:], strict=False):
+                        c = quality_rules.Condition(name, above, (lo + hi) / 2)
+                        at = inside & c.holds(x)
+                        p = int((bad & at).sum())
+                        gain = p * (math.log2(p / at.sum()) - base) if p else -1.0
+                        if gain > best + 1e-12:
+                            best, found = gain, c
+            if found is None:
+                break
+            rule += (found,)
+            inside &= found.holds(x)
+        assert quality_rules.grow(x, bad) == rule
+        if rule:
+            y = {n: rnd.integers(0, 9, 60).astype(float) for n in x}
+            worse = (y["a"] > 5) & (y["b"] < 4)
+            worth = []
+            for k in range(1, len(rule) + 1):
+                at = quality_rules.covered(rule[:k], y)
+                p, n = int((worse & at).sum()), int((~worse & at).sum())
+                worth.append(((p - n) / (p + n) if p + n else -1.0, k))
+            assert quality_rules.prune(rule, y, worse) == rule[: max(worth)[1]]
+
+
 # 3
 def _fewest(lengths, capacity):
     best = [len(lengths)]
