@@ -34,19 +34,11 @@ def name_key_column(name: Column, is_person: Column, titles: Iterable[str]) -> C
     return keys(name, F.coalesce(is_person, F.lit(False)))
 
 
-def fold_text(text: Column) -> Column:
+def fold(text: str) -> str:
     """Lower case without accents, for full-text terms."""
-
-    @F.pandas_udf(T.StringType())
-    def fold(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is not None and not t.isascii():
-                t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-            out.append(None if t is None else t.lower())
-        return pd.Series(out, dtype=object)
-
-    return fold(text)
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text.lower()
 
 
 def ascii_fold(text: Column) -> Column:

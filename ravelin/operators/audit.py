@@ -37,11 +37,12 @@ def isolated_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with an end that is no node: one pass over the edges for each end, an edge once."""
+    """Edges with an end that is no node, in one pass over the edges: a flag is joined in for each end."""
     ids = nodes.select("node_id").distinct()
-    source_ok = edges.join(ids.select(F.col("node_id").alias("source_id")), "source_id", "left_semi")
-    whole = source_ok.join(ids.select(F.col("node_id").alias("cible_id")), "cible_id", "left_semi")
-    return edges.join(whole.select("edge_id"), "edge_id", "left_anti")
+    out = edges
+    for end in ("source_id", "cible_id"):
+        out = out.join(ids.select(F.col("node_id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    return out.where("_source_id IS NULL OR _cible_id IS NULL").select(*edges.columns)
 
 
 def nodes_without_mention(nodes: DataFrame, mentions: DataFrame) -> DataFrame:

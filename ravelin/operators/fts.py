@@ -10,14 +10,17 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ravelin.functions.names import fold_text
+from ravelin.functions.names import fold
 from ravelin.plans.lineage import materialise
 
 K1, B, LOWEST_IDF = 1.2, 0.75, 1e-6
-_TERM = r"[\p{L}\p{N}]+"
+_TERM = re.compile(r"[^\W_]+")
+_SALTS = 16
 #: Positions of the second column begin this far behind the first, so that no phrase spans both.
 _GAP = 1 << 30
 
@@ -29,18 +32,34 @@ def question_words(question: str) -> list[list[str]]:
     return [w for w in words if w]
 
 
+_PLACES = T.StructType([T.StructField("dl", T.IntegerType()), T.StructField("mots", T.ArrayType(T.StructType([T.StructField("mot", T.StringType()), T.StructField("positions", T.ArrayType(T.LongType()))])))])
+
+
+@F.pandas_udf(_PLACES)
+def _places(*columns: pd.Series) -> pd.DataFrame:
+    """The terms of each passage with their places, over all its columns: folded, cut and grouped within the row."""
+    out = []
+    for texts in zip(*columns, strict=True):
+        found: dict[str, list[int]] = {}
+        dl = 0
+        for i, text in enumerate(texts):
+            terms = _TERM.findall(fold(text)) if isinstance(text, str) else []
+            dl += len(terms)
+            for p, t in enumerate(terms, i * _GAP):
+                found.setdefault(t, []).append(p)
+        out.append((dl, [{"mot": t, "positions": p} for t, p in found.items()]))
+    return pd.DataFrame(out, columns=["dl", "mots"])
+
+
 def postings(passages: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("texte", "chemin_titres")) -> DataFrame:
     """mot, chunk_id, positions, dl: a row for each term of each passage; dl is the passage's number of terms."""
-    columns = [F.regexp_extract_all(F.coalesce(fold_text(F.col(c)), F.lit("")), F.lit(_TERM), F.lit(0)) for c in text_cols]
-    own = passages.select(F.col(id_col).alias("chunk_id"), *[c.alias(f"t{i}") for i, c in enumerate(columns)])
-    dl = sum((F.size(f"t{i}") for i in range(len(columns))), F.lit(0))
+    own = passages.select(F.col(id_col).alias("chunk_id"), _places(*[F.col(c) for c in text_cols]).alias("p"))
+    return own.select("chunk_id", "p.dl", F.explode("p.mots").alias("m")).select("m.mot", "chunk_id", "m.positions", "dl")
 
-    def placed(i: int):
-        return F.transform(f"t{i}", lambda t, p: F.struct(t.alias("mot"), (p + i * _GAP).cast("long").alias("position")))
 
-    places = [placed(i) for i in range(len(columns))]
-    terms = own.select("chunk_id", dl.alias("dl"), F.explode(F.concat(*places)).alias("x"))
-    return terms.groupBy(F.col("x.mot").alias("mot"), "chunk_id", "dl").agg(F.sort_array(F.collect_list("x.position")).alias("positions")).select("mot", "chunk_id", "positions", "dl")
+def clustered(index: DataFrame) -> DataFrame:
+    """Postings in order of term; a term's postings are spread over _SALTS parts, so that a stop word is no hot task."""
+    return index.repartition("mot", F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS))).sortWithinPartitions("mot")
 
 
 def statistics(passages: DataFrame, index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -51,7 +70,7 @@ def statistics(passages: DataFrame, index: DataFrame, id_col: str = "chunk_id")
 
 def build_index(passages: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("texte", "chemin_titres")) -> tuple[DataFrame, DataFrame]:
     """(postings, statistics), written in the shared folder with the postings clustered by term."""
-    index = materialise(postings(passages, id_col, text_cols).repartition("mot").sortWithinPartitions("mot"), "fts-postings")
+    index = materialise(clustered(postings(passages, id_col, text_cols)), "fts-postings")
     return index, materialise(statistics(passages, index, id_col), "fts-statistics")
 
 
@@ -100,8 +119,9 @@ def search(index: DataFrame, stats: DataFrame, question: str, k: int | None, mod
         else:
             best = scored.agg(F.max("n_words").alias("most"))
             scored = scored.crossJoin(F.broadcast(best)).where((F.col("most") < len(words)) | (F.col("n_words") == len(words)))
-    top = scored.orderBy("score", "chunk_id")
-    return ranked(top.limit(k) if k else top, ["score", "chunk_id"]).select("chunk_id", "score", "rang")
+    if k is None:
+        return ranked_whole(scored, ["score", "chunk_id"]).select("chunk_id", "score", "rang")
+    return ranked(scored.orderBy("score", "chunk_id").limit(k), ["score", "chunk_id"]).select("chunk_id", "score", "rang")
 
 
 def ranked(df: DataFrame, order: list) -> DataFrame:
@@ -109,3 +129,15 @@ def ranked(df: DataFrame, order: list) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("rang", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+
+
+def ranked_whole(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds rang from 0 to a table of any size: sorted by ranges, numbered in each, and moved by the sizes of the ranges before it."""
+    from pyspark.sql import Window
+
+    parts = materialise(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "fts-ranges")
+    at, before = 0, {}
+    for r in parts.groupBy("_p").count().orderBy("_p").collect():  # a row for each range
+        before[r["_p"]], at = at, at + r["count"]
+    shift = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map().cast("map<int,int>")
+    return parts.withColumn("rang", (F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + F.try_element_at(shift, F.col("_p"))).cast("int")).drop("_p")

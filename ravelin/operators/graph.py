@@ -2,7 +2,7 @@
 
 A level is one equi-join of the frontier with the undirected edge view and one anti-join with what was reached; an OR over
 both ends would be a Cartesian product. The frontier is broadcast only when its counted rows allow. Each level is written in
-the shared folder, so the plan doesn't grow and a lost executor costs a level at most.
+the shared folder, so the plan doesn't grow and a lost executor costs a level at most; so is the edge view, once for all levels.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int, cap: int | None = Non
     The parent is the least (parent id, relation, sens) that reaches the node at its distance; ``chemin`` is the array of steps from a seed.
     With a ``cap``, nearer nodes come first, then lower ids, and any cut is reported.
     """
-    links = undirected(edges)
+    links = materialise(undirected(edges), "graph-links")
     step = "struct<de:string,relation:string,sens:string,vers:string>"
     reached = materialise(seeds.select(F.col("node_id").cast("string").alias("node_id")).distinct().select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("sens"), F.array().cast(f"array<{step}>").alias("chemin")), "graph-seeds")
     frontier, n, cut = reached, reached.count(), False
@@ -62,6 +62,7 @@ def neighbourhood(edges: DataFrame, node_id: str, depth: int = 1) -> tuple[DataF
     """(node_id, distance), (source_id, type, cible_id). Depth is put into 1..3. Edges are those at nodes nearer than the depth:
     an edge between two nodes at the full depth isn't among them."""
     depth = max(1, min(int(depth), 3))
+    edges = materialise(edges.select("source_id", "type", "cible_id"), "graph-edges")
     seeds = edges.sparkSession.createDataFrame([(node_id,)], "node_id string")
     reached, _ = expand(edges, seeds, depth)
     inner = reached.where(F.col("distance") < depth).select("node_id")
@@ -77,7 +78,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 5) ->
     empty = spark.createDataFrame([], "etape int, de string, relation string, sens string, vers string")
     if start == end:
         return empty
-    links, goal = undirected(edges), F.col("node_id") == end
+    links, goal = materialise(undirected(edges), "graph-links"), F.col("node_id") == end
     reached = materialise(spark.createDataFrame([(start,)], "node_id string").select("node_id", F.array().cast("array<struct<de:string,relation:string,sens:string,vers:string>>").alias("chemin")), "path")
     frontier, size = reached, 1
     for _ in range(max_depth):

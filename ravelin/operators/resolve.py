@@ -47,11 +47,24 @@ def fuzzy_pairs(names: DataFrame, cutoff: float = 80.0, per_name: int = 10) -> D
     return scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= per_name).drop("_r")
 
 
+def attributes(rows: DataFrame, column: str = "attributs") -> DataFrame:
+    """The rows with k, v for each attribute of the JSON object in ``column``; v is its value as JSON, so numbers, booleans, arrays and objects stay what they are."""
+    from pyspark.sql import functions as fn
+
+    parsed = rows.withColumn("_v", F.try_parse_json(column)).where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
+    return parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(fn.col("_v").outer())).select(*rows.columns, F.col("key").alias("k"), F.to_json("value").alias("v"))
+
+
+def json_object(entries: Column) -> Column:
+    """A JSON object from an array of (k, v) with v as JSON."""
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+
+
 def _first_attributes(entities: DataFrame) -> DataFrame:
-    """type, norm, attributs: for each attribute the first value seen."""
-    each = entities.select("type", "norm", "ordinal", F.explode(F.from_json("attributs", "map<string,string>")).alias("k", "v"))
-    one = each.groupBy("type", "norm", "k").agg(F.min_by("v", "ordinal").alias("v"))
-    return one.groupBy("type", "norm").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("own"))
+    """type, norm, k, v: for each attribute the first value seen."""
+    each = attributes(entities.select("type", "norm", "ordinal", "attributs"))
+    return each.groupBy("type", "norm", "k").agg(F.min_by("v", "ordinal").alias("v"))
 
 
 def resolve(entities: DataFrame, relations: DataFrame, ontology: Ontology, config: Config | None = None, arbiter: Arbiter | None = None) -> dict[str, DataFrame]:
@@ -83,8 +96,8 @@ def resolve(entities: DataFrame, relations: DataFrame, ontology: Ontology, confi
     names = placed.groupBy("node_id", "type", "nom").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("o"))
     shown = names.groupBy("node_id", "type").agg(F.max_by("nom", F.struct("n", F.length("nom"), -F.col("o"))).alias("nom"), F.min("o").alias("ordinal"))
     aliases = names.join(shown.select("node_id", F.col("nom").alias("shown")), "node_id").where("nom <> shown").select(F.col("nom").alias("alias"), "node_id").distinct()
-    own = _first_attributes(ents).join(where, ["type", "norm"]).select("node_id", "norm", F.explode("own").alias("k", "v"))
-    own = own.groupBy("node_id", "k").agg(F.min_by("v", "norm").alias("v")).groupBy("node_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v"))))).alias("attributs"))
+    own = _first_attributes(ents).join(where, ["type", "norm"]).select("node_id", "norm", "k", "v")
+    own = own.groupBy("node_id", "k").agg(F.min_by("v", "norm").alias("v")).groupBy("node_id").agg(json_object(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("attributs"))
     mentions = placed.where(F.length("chunk_id") > 0).select("node_id", "chunk_id", F.coalesce("citation", F.lit("")).alias("citation")).distinct()
 
     rels = relations.withColumns({"s_norm": key("source_nom", "source_type"), "c_norm": key("cible_nom", "cible_type")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,53 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id", vec_
     return ranked(own.orderBy("distance", "id").limit(k), ["distance", "id"])
 
 
-def knn_all(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", broadcast_rows: int = 20_000) -> DataFrame:
-    """query_id, id, distance, rang for every row of ``queries``. The queries are broadcast when their measured number allows; the top k of
-    each is kept per salt first, so that no task sees all vectors of a query."""
-    from ravelin.plans.lineage import broadcast_below
+def _nearest(queries, k: int):
+    """The k best of each batch for every query: by a matrix product, then exactly for what comes within rounding of the k-th."""
 
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).crossJoin(broadcast_below(q, q.count(), broadcast_rows))
-    scored = pairs.where(F.size("_q") == F.size("_v")).select("query_id", "id", l2(F.col("_q"), F.col("_v")).alias("distance"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("_s"))
-    order = [F.col("distance"), F.col("id")]
-    part = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_s").orderBy(*order))).where(F.col("_r") <= k)
-    best = part.withColumn("rang", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).where(F.col("rang") < k)
-    return best.select("query_id", "id", "distance", F.col("rang").cast("int").alias("rang"))
+    def run(batches):
+        names, matrix = queries.value
+        square = (matrix * matrix).sum(axis=1)
+        for pdf in batches:
+            pdf = pdf[[v is not None and len(v) == matrix.shape[1] for v in pdf["v"]]]
+            if not len(pdf):
+                continue
+            ids, own = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            own_square = (own * own).sum(axis=1)
+            for lo in range(0, len(matrix), 512):
+                q = matrix[lo : lo + 512]
+                d = square[lo : lo + 512, None] + own_square[None] - 2.0 * (q @ own.T)
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(own) else d.max(axis=1)
+                row, col = np.nonzero(d <= (kth + 1e-9 * (1.0 + square[lo : lo + 512] + own_square.max()))[:, None])
+                exact = np.sqrt(((q[row] - own[col]) ** 2).sum(axis=1))
+                order = np.lexsort((ids[col], exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                first = np.searchsorted(row, row)
+                kept = np.arange(len(row)) - first < k
+                yield pd.DataFrame({"query_id": names[lo : lo + 512][row[kept]], "id": ids[col[kept]], "distance": exact[kept]})
+
+    return run
+
+
+def knn_all(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", block_mb: int = 64) -> DataFrame:
+    """query_id, id, distance, rang for every row of ``queries`` that isn't null. Queries go in blocks of at most ``block_mb``, by their measured size, each a broadcast and
+    one pass over the vectors; every batch keeps its k best of a query, so what is merged by query is k rows for each batch."""
+    spark = vectors.sparkSession
+    own = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("q")).where(F.col("q").isNotNull() & F.col(id_col).isNotNull())
+    sizes = own.groupBy(F.size("q").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # a row for each dimension
+    kind = dict(vectors.dtypes)[id_col]
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull())
+    out = None
+    for dim, n in sizes:
+        blocks = max(1, -(-n * max(dim, 1) * 8 // (block_mb << 20)))
+        for b in range(blocks):
+            part = own.where((F.size("q") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).orderBy("query_id").toArrow()
+            shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), np.array(part["q"].to_pylist(), np.float64).reshape(len(part), dim)))
+            one = rows.mapInPandas(_nearest(shared, k), f"query_id {kind}, id {kind}, distance double")
+            out = one if out is None else out.union(one)
+    if out is None:
+        return spark.createDataFrame([], f"query_id {kind}, id {kind}, distance double, rang int")
+    best = Window.partitionBy("query_id").orderBy("distance", "id")
+    return out.withColumn("rang", (F.row_number().over(best) - 1).cast("int")).where(F.col("rang") < k)
 
 
 def rrf(lists: list[DataFrame], constant: int = 60) -> DataFrame:

@@ -110,7 +110,7 @@ def test_resolution(spark):
     out = resolve.resolve(spark.createDataFrame(e, "type string, nom string, attributs string, chunk_id string, citation string, ordinal long"), spark.createDataFrame(r, "type string, source_type string, source_nom string, cible_type string, cible_nom string, chunk_id string, citation string, ordinal long"), ONTO)
     nodes = {n.type: n for n in out["nodes"].collect()}
     assert len(nodes) == 3 and out["nodes"].count() == 3
-    assert nodes["personne"].nom == "Mme Dupont" and json.loads(nodes["personne"].attributs) == {"role": "x", "age": "3"}
+    assert nodes["personne"].nom == "Mme Dupont" and json.loads(nodes["personne"].attributs) == {"role": "x", "age": 3}
     assert json.loads(nodes["risque"].attributs) == {"implicite": True}
     assert {a.alias for a in out["aliases"].collect()} == {"Duponts", "M. Dupont"}
     assert out["mentions"].count() == 2
@@ -258,3 +258,48 @@ def test_stream_counts_each_document_once(spark, tmp_path):
     spark.createDataFrame([(2, "c")], rows.schema).write.mode("append").parquet(src)
     ingest.ingest(ingest.read_documents(spark, src, rows.schema), out, ck).awaitTermination()
     assert {(r.doc_id, r.texte) for r in ingest.latest_passages(spark, out).collect()} == {("1", "a"), ("2", "c")}
+
+
+def test_attribute_values_keep_their_types(spark):
+    rows = [("a", '{"age":3,"tags":["a",1],"ok":true,"o":{"x":null},"q\\"k":"v\\"","n":null}'), ("b", "[1]"), ("c", "no json"), ("d", None), ("e", "{}")]
+    df = spark.createDataFrame(rows, "id string, attributs string")
+    got = resolve.attributes(df).groupBy("id").agg(resolve.json_object(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("j")).collect()
+    assert {r.id: json.loads(r.j) for r in got} == {"a": json.loads(rows[0][1])}
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT reflect('java.lang.System','getProperty','user.dir')", "SELECT java_method('java.lang.System','exit',0)", "SELECT try_reflect('java.lang.System','getProperty','x') FROM secret_ok",
+    "SELECT * FROM text.`/etc/hostname`", "WITH a AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM a", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) FROM secret_ok",
+    "SELECT * FROM other_table", "SELECT no_such_function(1)", "SELECT id FROM secret_ok WHERE id IN (SELECT value FROM json.`/etc/hostname`)", "SELECT TRANSFORM(id) USING 'cat' AS x FROM secret_ok",
+    "WITH x AS (SELECT 1) INSERT INTO secret_ok SELECT * FROM x", "SELECT input_file_name() FROM secret_ok", "DROP VIEW secret_ok",
+])
+def test_the_sql_gate_refuses(spark, sql):
+    sqlgate.register_views({"secret_ok": spark.range(3)})
+    assert "erreur" in sqlgate.requete_sql(spark, sql)
+
+
+def test_the_sql_gate_lets_queries_pass(spark):
+    sqlgate.register_views({"secret_ok": spark.range(3)})
+    for sql in ("SELECT sum(id) AS s FROM secret_ok WHERE id > 0", "WITH a AS (SELECT id FROM secret_ok) SELECT a.id FROM a JOIN secret_ok b ON a.id = b.id", "SELECT explode(array(1, 2)) AS x", "SELECT upper('a') AS x, row_number() OVER (ORDER BY id) AS r FROM secret_ok", "SELECT * FROM range(3)", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT * FROM t"):
+        assert sqlgate.requete_sql(spark, sql).get("lignes"), (sql, sqlgate.requete_sql(spark, sql))
+    assert "erreur" in sqlgate.requete_sql(spark, "SELECT id FROM secret_ok", tables=["nodes"])
+
+
+def test_nearest_of_many_in_blocks_and_with_ties(spark):
+    rnd = random.Random(2)
+    vs = [(i, [float(rnd.randint(0, 3)) for _ in range(3)]) for i in range(120)] + [(500, [1.0]), (501, None)]
+    df = spark.createDataFrame(vs, "id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in vector.knn_all(df, df, 4, block_mb=64).collect():
+        got.setdefault(r.query_id, []).append((r.rang, r.id))
+    for q, v in vs[:120]:
+        want = sorted((sum((a - b) ** 2 for a, b in zip(w, v, strict=True)) ** 0.5, i) for i, w in vs[:120])[:4]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in want]
+    assert got[500] == [(0, 500)] and 501 not in got
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.createDataFrame([(f"c{i}", float(i % 7)) for i in range(200)], "chunk_id string, score double").repartition(7)
+    got = fts.ranked_whole(df, ["score", "chunk_id"]).orderBy("rang").collect()
+    assert [r.rang for r in got] == list(range(200)) and [(r.score, r.chunk_id) for r in got] == sorted((r.score, r.chunk_id) for r in got)
+    assert fts.ranked_whole(df.limit(0), ["score", "chunk_id"]).count() == 0
