@@ -127,12 +127,9 @@ class Journal:
             self.incident("erreur", self.passe, f"{kind.__name__}: {error}")
         row = (self.passe, status, datetime.now(UTC).isoformat(timespec="seconds"), round(time.time() - self.began, 1), self.counters, self.incidents, self.lost)
         record = self.spark.createDataFrame([row], JOURNAL)
-        from ravelin.operators.store import _file
+        from ravelin.operators.store import write_text
 
-        fs, path = _file(self.spark, f"{self.folder}/{self.passe}.json")
-        stream = fs.create(path, True)
-        stream.write(bytearray(record.toJSON().first().encode()))
-        stream.close()
+        write_text(self.spark, f"{self.folder}/{self.passe}.json", record.toJSON().first())
         return False
 
 
@@ -155,5 +152,14 @@ def report(tables: dict[str, DataFrame], ontology: Ontology, journals: DataFrame
     lines += ["", f"Duree totale : {sum(r.duree_s or 0 for r in own):.1f} s", "", "| controle | n | alerte |", "| --- | --- | --- |"]
     lines += [f"| {r.controle} | {r.n} | {'oui' if r.alerte else 'non'} |" for r in audit(tables, ontology).orderBy("controle").collect()]
     lines += ["", "| noeud | degre |", "| --- | --- |", *[f"| {r.nom} | {r.degre} |" for r in top_degrees(tables["nodes"], tables["edges"]).collect()]]
+    for title, name, known in (("type de noeud", "nodes", ontology.prefixes), ("type de relation", "edges", ontology.relations)):
+        lines += ["", f"| {title} | n | hors ontologie |", "| --- | --- | --- |"]
+        lines += [f"| {r.type} | {r.n} | {'oui' if r.hors_ontologie else 'non'} |" for r in type_counts(tables[name], list(known)).orderBy(F.desc("n"), "type").collect()]
+    for owner, name, key in (("chunks", "chunks_vec", "chunk_id"), ("nodes", "nodes_vec", "node_id")):
+        if name in tables:
+            c = vector_coverage(tables[owner], tables[name], key).first()
+            lines += ["", f"Vecteurs de {owner} : {c.avec_vecteur} / {c.n} ({c.pourcentage} %){', alerte' if c.alerte else ''}"]
+    for r in card_sample(tables["nodes"], tables["mentions"]).collect():
+        lines += ["", f"**{r.nom}** ({r.type}) : {r.fiche}", f"> {r.citation or ''}"]
     lines += ["", *[f"* {r.passe}, {r.niveau}: {r.sujet} {r.detail}" for r in incident_report(journals).collect()]]
     return "\n".join(lines) + "\n"

@@ -44,6 +44,37 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """To a file beside it first, which then takes its place: a reader never sees half a text."""
+    fs, target = _file(spark, path)
+    _, part = _file(spark, f"{path}.part-{uuid.uuid4().hex[:8]}")
+    stream = fs.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.rename(part, target):  # file systems that don't rename over a file
+        fs.delete(target, False)
+        fs.rename(part, target)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` as a folder of its own below ``path`` and reads it back."""
+    own = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(own)
+    return df.sparkSession.read.schema(df.schema).parquet(own)
+
+
+def read_if_there(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All that ``append`` finished writing below ``path``; nothing if there is none. Folders that a lost job left unfinished are passed over."""
+    fs, folder = _file(spark, path)
+    whole = [s.getPath().toString() for s in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(folder) else []
+    return spark.read.schema(schema).parquet(*whole) if whole else spark.createDataFrame([], schema)
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], ontology_version: str = "1") -> str:
     """Writes a new version beside the old ones, then moves the pointer: readers see the old version or the new one, and a failed build changes nothing."""
     version = datetime.now(UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
@@ -89,13 +120,15 @@ def table_exists(base: dict[str, DataFrame], name: str) -> bool:
 
 
 def reset(spark: SparkSession, root: str, level: str = "versions") -> int:
-    """Deletes what this engine published: ``versions`` (all but the current one) or ``all``. Returns the number of deleted entries."""
+    """Deletes what this engine wrote at ``root``: ``versions`` (published ones but the current), ``work`` (all versions, and with them every cache, and unfinished work), ``all`` (journals
+    and the report too). Sources are never touched. Returns the number of deleted entries."""
     now, n = current_version(spark, root), 0
     fs, folder = _file(spark, root)
     if not fs.exists(folder):
         return 0
     for s in fs.listStatus(folder):
         name = s.getPath().getName()
-        if level == "all" or name.removeprefix("CURRENT-") != now:
+        record = name in ("journal", "rapport.md")
+        if level == "all" or level == "work" and not record or level == "versions" and not record and name != "work" and name.removeprefix("CURRENT-") != now:
             n += bool(fs.delete(s.getPath(), True))
     return n

@@ -37,7 +37,8 @@ def _union_find(batches):
         for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
             a, b = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
             parent[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"id": list(parent), "label": [root(x) for x in parent]}) if parent else pd.DataFrame({"id": [], "label": []})
+    if parent:
+        yield pd.DataFrame({"id": list(parent), "label": [root(x) for x in parent]})
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = 500_000) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import os
 import shutil
 import subprocess
 import tempfile
 from collections.abc import Callable
+from functools import cache
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -27,22 +28,65 @@ OFFICE = frozenset("." + x for x in (
 Converter = Callable[[str, bytes], str | None]
 
 
+_LISTED = "uri string, chemin_source string, mtime long, taille long"
+_SCANNED = T.StructType([T.StructField("chemin_source", T.StringType()), T.StructField("nom", T.StringType()), T.StructField("extension", T.StringType()), T.StructField("mtime", T.LongType()), T.StructField("taille", T.LongType()), T.StructField("contenu", T.BinaryType())])
+
+
+def _open(root: str):
+    """(file system, path in it) of a folder: a path of the machine or a URI that pyarrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+
+
+def _below(root: str, folder: str, recursive: bool) -> list[tuple[str, str, bool, int, int]]:
+    """(path, path below the root, is it a folder?, seconds, size)"""
+    from pyarrow import fs
+
+    system, base = _open(root)
+    base = base.rstrip("/")
+    found = system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, recursive=recursive))
+    return [(f.path, f.path[len(base) :].lstrip("/"), f.type == fs.FileType.Directory, (f.mtime_ns or 0) // 10**9, f.size or 0) for f in found]
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """chemin_source, nom, extension, mtime (seconds), taille, contenu of every file below ``root``, hidden folders included.
+    """chemin_source, nom, extension, mtime (seconds), taille, contenu of every file below ``root``.
 
-    ``.DS_Store`` and names that begin with a dot are left out. Spark's own listing also hides names with a leading
-    underscore, and files of no length have no row; order by ``chemin_source`` where order matters.
+    Folders are entered whatever their names, hidden ones too, and empty files have a row. Only ``.DS_Store`` and file names that
+    begin with a dot are left out. Order by ``chemin_source`` where order matters. The driver lists ``root`` itself, tasks
+    list what is in its folders and read the files, so ``root`` must be reachable from every executor (a shared path, or a URI of
+    a file system that pyarrow opens). A file that vanishes meanwhile has no row.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    base = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/"))
-    path = F.regexp_replace("path", r"^[a-zA-Z0-9]+:/*", "/")
-    relative = F.expr(f"substring({'_p'}, {len(base) + 2})")
-    name = F.element_at(F.split("chemin_source", "/"), -1)
-    return (
-        found.withColumn("_p", path).withColumn("chemin_source", relative).withColumn("nom", name)
-        .where(~F.startswith("nom", F.lit(".")))
-        .select("chemin_source", "nom", F.lower(F.regexp_extract("nom", r"(\.[^.]+)$", 1)).alias("extension"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("taille"), F.col("content").alias("contenu"))
-    )
+    top = _below(root, "", False)
+    folders = [(f[1],) for f in top if f[2]]
+    here = [f for f in top if not f[2]]
+
+    def listed(batches):
+        for pdf in batches:
+            rows = [f for folder in pdf["d"] for f in _below(root, folder, True) if not f[2]]
+            yield pd.DataFrame([(r[0], r[1], r[3], r[4]) for r in rows], columns=["uri", "chemin_source", "mtime", "taille"])
+
+    def read(batches):
+        system, _ = _open(root)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                rows = []
+                for r in pdf.iloc[lo : lo + 64].itertuples(index=False):
+                    try:
+                        with system.open_input_stream(r.uri) as f:
+                            data = f.read()
+                    except FileNotFoundError:
+                        continue
+                    path = PurePosixPath(r.chemin_source)
+                    rows.append((r.chemin_source, path.name, path.suffix.lower(), r.mtime, r.taille, data))
+                yield pd.DataFrame(rows, columns=_SCANNED.names)
+
+    files = spark.createDataFrame([(f[0], f[1], f[3], f[4]) for f in here], _LISTED)
+    if folders:
+        width = min(len(folders), 4 * spark.sparkContext.defaultParallelism)
+        files = files.union(spark.createDataFrame(folders, "d string").repartition(width).mapInPandas(listed, _LISTED))
+    shown = files.where(~F.startswith(F.element_at(F.split("chemin_source", "/"), -1), F.lit(".")))
+    return shown.repartition(4 * spark.sparkContext.defaultParallelism, "chemin_source").mapInPandas(read, _SCANNED)
 
 
 def plain_text(path: str, data: bytes) -> str:
@@ -59,6 +103,17 @@ def web_page(path: str, data: bytes) -> str:
     return html_to_markdown(data.decode("utf-8", errors="replace"))
 
 
+def any_to_markdown(path: str, data: bytes) -> str | None:
+    """With markitdown, where it is installed."""
+    import io
+
+    try:
+        from markitdown import MarkItDown
+    except ImportError:
+        return None
+    return MarkItDown().convert_stream(io.BytesIO(data), file_extension=PurePosixPath(path).suffix).text_content
+
+
 def pdf_text(path: str, data: bytes) -> str | None:
     """With pdfminer, then pdfplumber, where one is installed."""
     import io
@@ -78,16 +133,26 @@ def pdf_text(path: str, data: bytes) -> str | None:
         return None
 
 
+_PROBE = r"{\rtf1\ansi probe\par}"
+
+
+@cache
 def office_command() -> str | None:
-    """The office program of this machine, if one answers to --version within 20 seconds."""
+    """The office program of this machine that tells its version within 20 seconds and converts a sample within 60; asked once in a process."""
     for name in ("libreoffice", "soffice", "openoffice"):
         found = shutil.which(name)
         if not found:
             continue
         try:
-            if subprocess.run([found, "--version"], capture_output=True, timeout=20).returncode == 0:
-                return found
-        except (OSError, subprocess.TimeoutExpired):
+            if subprocess.run([found, "--version"], capture_output=True, timeout=20).returncode:
+                continue
+            with tempfile.TemporaryDirectory() as work:  # scratch of the probe
+                with open(f"{work}/probe.rtf", "w", encoding="ascii") as f:
+                    f.write(_PROBE)
+                subprocess.run([found, "--headless", "--convert-to", "html", "--outdir", work, f"{work}/probe.rtf"], capture_output=True, timeout=60, check=True)
+                if os.path.exists(f"{work}/probe.html"):
+                    return found
+        except (OSError, subprocess.SubprocessError):
             continue
     return None
 
@@ -109,8 +174,8 @@ def office_document(path: str, data: bytes) -> str | None:
 def default_converters(office: bool = False) -> dict[str, list[Converter]]:
     """extension -> converters in the order to try; the key ``*`` serves all others."""
     out: dict[str, list[Converter]] = {e: [plain_text] for e in TEXT} | {e: [web_page, raw_text] for e in HTML}
-    out |= {e: [office_document, raw_text] if office else [raw_text] for e in OFFICE}
-    return out | {".pdf": [pdf_text, raw_text], "*": [raw_text]}
+    out |= {e: [*([office_document] if office else []), any_to_markdown, raw_text] for e in OFFICE}
+    return out | {".pdf": [any_to_markdown, pdf_text, raw_text], "*": [any_to_markdown, raw_text]}
 
 
 _CONVERTED = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("markdown", T.StringType()), T.StructField("erreur", T.StringType())])
