@@ -82,6 +82,7 @@ _FROM = [s[0] for s in SCRIPTS]
 _BITS = 21
 #: The strength of the lower order in each interpolation.
 _PRIOR = 4.0
+_FULL_ENTRIES = 4_000_000
 
 
 @lru_cache(maxsize=1 << 16)
@@ -107,6 +108,12 @@ class _Sparse:
         self.keys, self.at = key[first], np.r_[first, len(key)].astype(np.int64)
         self.lang, self.a, self.b = lang[order].astype(np.int16), a[order].astype(np.float32), b[order].astype(np.float32)
 
+    def rows(self, languages: int) -> tuple[np.ndarray, np.ndarray]:
+        """The entries as (key x language) arrays, with zeros for what isn't there and a last row of zeros for no key."""
+        size = np.diff(self.at)
+        flat = np.repeat(np.arange(len(size)), size) * languages + self.lang
+        return tuple(np.bincount(flat, weights=v, minlength=(len(size) + 1) * languages).astype(np.float32).reshape(-1, languages) for v in (self.a, self.b))
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(keys), -1, np.int64)
@@ -134,6 +141,9 @@ class Model:
         for name, langs in self.scripts.items():
             self.masks[name] = np.full(len(self.states), -1e4)
             self.masks[name][[column[x] for x in langs]] = 0.0
+        tables = (letters, pairs, trigrams)
+        # few languages: an entry for each of them costs less than a list of those that have one; the scores are the same
+        self.full = [t.rows(len(languages)) for t in tables] if languages and sum(len(t.keys) + 1 for t in tables) * len(languages) <= _FULL_ENTRIES else None
         self.unknown = np.full(len(self.states), -1e4)
         self.unknown[column["und"]] = 0.0
 
@@ -145,16 +155,24 @@ class Model:
         text = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         edge = text == 10
         b = np.r_[10, text[:-1]]
-        a = np.where(b == 10, 10, np.r_[10, 10, text[:-2]])
+        inner = b != 10
+        a = np.where(inner, np.r_[10, 10, text[:-2]], 10)
         word = np.cumsum(edge) - edge
-        got = np.zeros((len(words), len(self.trained)))
-        last, before = self.letters.find(text), self.letters.find(b)
-        self.letters.add(got, word, last, self.letters.a)
-        self.letters.add(got, word, before, self.letters.b)
-        self.pairs.add(got, word, self.pairs.find((b << _BITS) | text), self.pairs.a)
-        self.pairs.add(got, word, self.pairs.find((a << _BITS) | b), self.pairs.b)
-        self.trigrams.add(got, word, self.trigrams.find((a << 2 * _BITS) | (b << _BITS) | text), self.trigrams.a)
-        out[:, : len(self.trained)] += got + np.bincount(word, minlength=len(words))[:, None] * self.base
+        last, pair = self.letters.find(text), self.pairs.find((b << _BITS) | text)
+        # what stands before a sign is what was found one sign earlier, but at the begin of a word
+        before = np.r_[self.letters.find(np.array([10])), last[:-1]]
+        context = np.where(inner, np.r_[-1, pair[:-1]], self.pairs.find(np.array([(10 << _BITS) | 10]))[0])
+        trigram = self.trigrams.find((a << 2 * _BITS) | (b << _BITS) | text)
+        size = np.bincount(word, minlength=len(words))
+        if self.full is not None:
+            (la, lb), (pa, pb), (ta, _) = self.full
+            each = la[last] + lb[before] + pa[pair] + pb[context] + ta[trigram]
+            got = np.add.reduceat(each, np.cumsum(size) - size, axis=0, dtype=np.float64)
+        else:
+            got = np.zeros((len(words), len(self.trained)))
+            for table, found, values in ((self.letters, last, self.letters.a), (self.letters, before, self.letters.b), (self.pairs, pair, self.pairs.a), (self.pairs, context, self.pairs.b), (self.trigrams, trigram, self.trigrams.a)):
+                table.add(got, word, found, values)
+        out[:, : len(self.trained)] += got + size[:, None] * self.base
         return out
 
 
@@ -273,6 +291,17 @@ _RESULT = schema(doc_id=LONG, lang=STRING, n_words=LONG, n_spans=INT, lang_share
 _CHUNK_WORDS, _CACHE_WORDS = 300_000, 600_000
 
 
+def _places(text: str, first: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Where the spans of words begin and end in the text. One span needs only the first and the last letter."""
+    if len(first) > 1:
+        at = [w.span() for w in _WORD.finditer(text)]
+        return [(at[a][0], at[b - 1][1]) for a, b in zip(first, ends, strict=True)]
+    end = len(text)
+    while not _WORD.match(text, end - 1, end):
+        end -= 1
+    return [(_WORD.search(text).start(), end)]
+
+
 def _labeller(shared, penalty: float):
     def label(batches):
         m: Model = shared.value
@@ -301,8 +330,7 @@ def _labeller(shared, penalty: float):
                 first, ends = np.r_[0, cuts], np.r_[cuts, n]
                 count = np.bincount(states, minlength=und + 1)
                 top = int(count.argmax())
-                at = [(w.start(), w.end()) for w in _WORD.finditer(text)]
-                spans = [{"start": at[a][0], "end": at[b - 1][1], "lang": m.states[states[a]], "n_words": int(b - a)} for a, b in zip(first, ends, strict=True)]
+                spans = [{"start": a, "end": b, "lang": m.states[states[i]], "n_words": int(j - i)} for (a, b), i, j in zip(_places(text, first, ends), first, ends, strict=True)]
                 out.append((key, m.states[top], n, len(spans), float(count[top] / n), spans))
             frame = pd.DataFrame(out, columns=_RESULT.names)
             frame["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in frame["doc_id"]], dtype="Int64")
@@ -312,7 +340,7 @@ def _labeller(shared, penalty: float):
             ids, texts, words, held = [], [], [], 0
             for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 text = text if isinstance(text, str) else ""
-                own = [w.lower() for w in _WORD.findall(text)]
+                own = list(map(str.lower, _WORD.findall(text)))
                 ids.append(key)
                 texts.append(text)
                 words.append(own)

@@ -36,8 +36,10 @@ def test_language_accuracy_and_mixed_text(spark, sf):
     assert text[spans[-1].start : spans[-1].end] == "Привет мир Привет мир Привет мир"
 
 
-def test_trigram_scores_against_the_formula(spark):
-    """A plain interpolation by dictionaries, for words known and new."""
+@pytest.mark.parametrize("full", [0, 4_000_000])
+def test_trigram_scores_against_the_formula(spark, monkeypatch, full):
+    """A plain interpolation by dictionaries, for words known and new, in both forms of the tables."""
+    monkeypatch.setattr(language_id, "_FULL_ENTRIES", full)
     texts = [(1, "banana band bandana nab", "xx"), (2, "cabana cab dab banal", "yy"), (3, "баба дед", "zz")]
     model = language_id.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
     counts = {}
