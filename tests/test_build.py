@@ -146,7 +146,7 @@ def test_arbitration_in_lots(spark):
     assert got == {f"a{i}" for i in range(0, 60, 3)}
     few = spark.createDataFrame([("personne", "short", "xzz", 85.0), ("personne", "b", "czz", 85.0)], "type string, a string, b string, score double").coalesce(1)
     assert [r.a for r in extract.arbiter(Judge())(few).collect()] == ["short"]
-    ents = spark.createDataFrame([("module", n, "{}", "c", "", i) for i, n in enumerate(["gestion paie", "gestion pazz ie"])], "type string, nom string, attributs string, chunk_id string, citation string, ordinal long")
+    ents = spark.createDataFrame([("module", n, "{}", "c", "", i) for i, n in enumerate(["paie rh", "pazzie rh"])], "type string, nom string, attributs string, chunk_id string, citation string, ordinal long")
     rels = spark.createDataFrame([], "type string, source_type string, source_nom string, cible_type string, cible_nom string, chunk_id string, citation string, ordinal long")
     assert resolve.resolve(ents, rels, default_ontology(), arbiter=extract.arbiter(Judge()))["nodes"].count() == 1
     assert knowledge.__doc__
