@@ -206,11 +206,5 @@ def dossier(base: Base, sujet: str, profondeur: int = 2, k: int = 6) -> dict:
     }
 
 
-def mention_documents(mentions: DataFrame, chunks: DataFrame, reached: DataFrame) -> DataFrame:
-    """doc_id, distance, n_passages of the documents that mention the reached nodes."""
-    near = mentions.join(reached.select("node_id", "distance"), "node_id").groupBy("chunk_id").agg(F.min("distance").alias("distance"))
-    return near.join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("doc_id").agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("n_passages"))
-
-
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

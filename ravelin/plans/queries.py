@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from ravelin.functions import text
 from ravelin.functions.names import name_key_column, text_fingerprint
-from ravelin.operators import audit, enrich, extract, fts, graph, knowledge, resolve, sqlgate, vector
+from ravelin.operators import audit, enrich, extract, fts, graph, knowledge, resolve, sqlgate, store, vector
 from ravelin.plans import star
 from ravelin.plans.components import components
+from ravelin.plans.config import Config
 from ravelin.plans.ontology import Ontology, Relation, default_ontology
+from ravelin.plans.tables import TABLES
 from ravelin.sources import files
 
 QUERIES: dict = {}
@@ -95,11 +99,26 @@ def rrf_fusion(spark, sf_dir):
 
 
 # graph
+_STAR = Ontology({t: p for t, p in zip(star.TYPES, ("REG", "NAT", "CUS", "SUP", "PRT", "ORD"), strict=True)}, {r: Relation(("*",), ("*",)) for r in ("appartient_a", "situe_en", "passee_par", "contient", "fournie_par")})
+
+
+def _base(spark, sf_dir, **tables):
+    """The star as a base: orders are documents of one passage each, which mention their customer and, when urgent, its nation."""
+    chunks, mentions = _order_mentions(spark, sf_dir)
+    nodes = star.nodes(spark, sf_dir).withColumns({"attributs": F.lit("{}"), "fiche": F.when(F.col("ordinal") % 3 != 0, F.col("nom"))})
+    aliases = star.table(spark, sf_dir, "customer").select(F.concat(F.lit("Client "), "c_custkey").alias("alias"), star.node_id("customer", "c_custkey").alias("node_id"))
+    own = {
+        "nodes": nodes, "edges": star.edges(spark, sf_dir), "aliases": aliases, "mentions": mentions.withColumn("citation", F.lit("")),
+        "chunks": chunks.select("chunk_id", "doc_id", F.lit(0).alias("ordre"), F.lit("").alias("chemin_titres"), F.lit("commande").alias("texte")),
+        "documents": chunks.select("doc_id", F.lit("commande").alias("titre"), F.lit("document").alias("type_document"), "date_document"),
+    }
+    return knowledge.Base(own | tables, Config())
+
+
 @query(f"WITH {star.NODES_SQL}, {star.edges_sql()} SELECT 'noeud' AS genre, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'relation', type, count(*) FROM edges GROUP BY type")
 def schema_counts(spark, sf_dir):
-    a, b = star.nodes(spark, sf_dir), star.edges(spark, sf_dir)
-    count = lambda df, kind: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("genre"), "type", "n")
-    return count(a, "noeud").union(count(b, "relation"))
+    base = _base(spark, sf_dir)
+    return knowledge.schema(base, _STAR).where("genre <> 'meta'").select("genre", F.col("nom").alias("type"), "n")
 
 
 @query(f"WITH {star.NODES_SQL}, {star.edges_sql()}, d AS (SELECT de AS node_id, count(*) AS degre FROM und GROUP BY 1) SELECT node_id, type, nom, degre FROM d JOIN nodes USING (node_id) ORDER BY degre DESC, node_id LIMIT 10")
@@ -175,19 +194,82 @@ m AS (SELECT o_orderkey, {star.sql_id("customer", "o_custkey")} AS id FROM order
 docs AS (SELECT o_orderkey AS doc_id, min(d)::INTEGER AS distance FROM m JOIN reached USING (id) GROUP BY 1)"""
 
 
+def _dossier(spark, sf_dir):
+    base = _base(spark, sf_dir, edges=star.edges(spark, sf_dir, _PLACES))
+    base.config = dataclasses.replace(base.config, max_noeuds_dossier=2_000_000_000)
+    direct = spark.createDataFrame([], "chunk_id long")
+    return knowledge.dossier_tables(base, spark.createDataFrame([(_REGION,)], "node_id string"), direct, 2)[0]
+
+
 @query(f"WITH {_DOSSIER} SELECT doc_id, distance, 1::BIGINT AS n_passages FROM docs")
 def dossier_docs(spark, sf_dir):
-    chunks, mentions = _order_mentions(spark, sf_dir)
-    seeds = spark.createDataFrame([(_REGION,)], "node_id string")
-    return knowledge.mention_documents(mentions, chunks, graph.expand(star.edges(spark, sf_dir, _PLACES), seeds, 2)[0])
+    return _dossier(spark, sf_dir)["tous"].select("doc_id", "distance", "n_passages")
 
 
-@query(f"WITH {_DOSSIER} SELECT distance, strftime(o_orderdate, '%Y-%m-%d') AS date_document, doc_id, row_number() OVER (PARTITION BY distance ORDER BY strftime(o_orderdate, '%Y-%m-%d'), doc_id)::INTEGER AS rang FROM docs JOIN orders ON o_orderkey = doc_id QUALIFY rang = 1")
-def dossier_origin(spark, sf_dir):
-    chunks, mentions = _order_mentions(spark, sf_dir)
-    docs = dossier_docs(spark, sf_dir).join(chunks.select("doc_id", "date_document"), "doc_id")
-    first = docs.groupBy("distance").agg(F.min(F.struct("date_document", "doc_id")).alias("f"))
-    return first.select("distance", "f.date_document", "f.doc_id", F.lit(1).alias("rang"))
+@query(f"WITH {_DOSSIER} SELECT strftime(o_orderdate, '%Y-%m-%d') AS date_document, doc_id, distance FROM docs JOIN orders ON o_orderkey = doc_id")
+def dossier_chronology(spark, sf_dir):
+    return _dossier(spark, sf_dir)["chronologie"].select("date_document", "doc_id", "distance")
+
+
+@query(f"WITH {_DOSSIER}, u AS (SELECT doc_id, 1 AS etape FROM docs WHERE distance > 0 UNION ALL SELECT doc_id, 2 FROM docs WHERE distance > 1) SELECT doc_id, count(*)::INTEGER AS longueur FROM u GROUP BY 1")
+def dossier_links(spark, sf_dir):
+    """How many steps explain why a document is in the dossier: as many as its distance."""
+    return _dossier(spark, sf_dir)["tous"].where("lien IS NOT NULL").select("doc_id", F.size("lien").alias("longueur"))
+
+
+@query(rf"""WITH {star.NODES_SQL}, hit AS (SELECT node_id, nom, key FROM (SELECT {star.sql_id("customer", "c_custkey")} AS node_id, c_name AS nom, c_custkey AS key FROM customer) WHERE lower(nom) LIKE '%client 1%' OR 'client ' || key LIKE '%client 1%')
+SELECT node_id, (row_number() OVER (ORDER BY key, node_id) - 1)::INTEGER AS rang FROM hit QUALIFY rang < 25""")
+def lexical_nodes(spark, sf_dir):
+    return knowledge.lexical_nodes(_base(spark, sf_dir), "CLIENT 1", 25).select(F.col("id").alias("node_id"), "rang")
+
+
+@query(f"WITH {star.NODES_SQL}, m AS (SELECT {star.sql_id('customer', 'o_custkey')} AS id FROM orders UNION SELECT {star.sql_id('nation', 'c_nationkey')} FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT') SELECT node_id, type FROM nodes WHERE node_id NOT IN (SELECT id FROM m)")
+def nodes_without_mention(spark, sf_dir):
+    base = _base(spark, sf_dir)
+    return audit.nodes_without_mention(base.nodes, base.mentions).select("node_id", "type")
+
+
+_KEYS = " UNION ALL ".join(f"SELECT {key} AS k, '{kind}' AS type FROM {kind}" for _, kind, key, _ in star._NODES)
+
+
+@query(f"SELECT type, count(*) AS n FROM ({_KEYS}) WHERE k % 3 = 0 GROUP BY 1")
+def nodes_without_card(spark, sf_dir):
+    return audit.nodes_without_card(_base(spark, sf_dir).nodes).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query('SELECT \'documents\' AS "table", count(*) AS n FROM documents UNION ALL SELECT \'orders\', count(*) FROM orders UNION ALL SELECT \'lineitem\', count(*) FROM lineitem')
+def row_counts(spark, sf_dir):
+    return audit.row_counts({t: star.table(spark, sf_dir, t) for t in ("documents", "orders", "lineitem")})
+
+
+@query(f"WITH {star.edges_sql()} SELECT type, count(*) AS n, type = 'situe_en' AS hors_ontologie FROM edges GROUP BY type")
+def type_counts(spark, sf_dir):
+    """Against an ontology that doesn't know one of the relations."""
+    return audit.type_counts(star.edges(spark, sf_dir), sorted(set(_STAR.relations) - {"situe_en"}))
+
+
+@query("WITH v AS (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 4 <> 0) SELECT count(*) AS n, count(vec_id) AS avec_vecteur, round(100.0 * count(vec_id) / count(*), 1)::DOUBLE AS pourcentage, 100.0 * count(vec_id) / count(*) < 95 AS alerte FROM documents LEFT JOIN v ON doc_id = vec_id")
+def vector_coverage(spark, sf_dir):
+    """Documents against vectors of which every fourth is missing."""
+    vectors = star.table(spark, sf_dir, "embeddings").where("vec_id % 4 <> 0").select(F.col("vec_id").alias("id"))
+    return audit.vector_coverage(star.table(spark, sf_dir, "documents"), vectors, "doc_id")
+
+
+@query("SELECT vec_id AS id, len(embedding)::INTEGER AS dim FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def vector_load(spark, sf_dir):
+    """Vectors of known owners with the right size: owners are the even documents."""
+    vectors = star.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    dim = vectors.select(F.size("embedding")).first()[0]
+    good, _ = store.good_vectors(vectors, star.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id"), dim)
+    return good.select("id", F.size("embedding").alias("dim"))
+
+
+@query(f"SELECT {star.sql_id('customer', 'c_custkey')} AS node_id, 'CUSTOMER : ' || c_name || coalesce(chr(10) || left(q, 1500), '') AS contexte FROM customer LEFT JOIN (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ' | ' ORDER BY o_orderpriority) AS q FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def node_contexts(spark, sf_dir):
+    """Customers with the priorities of their orders as citations; no passage fits, so the contexts are heads and citations."""
+    nodes = star.nodes(spark, sf_dir).where("type = 'customer'")
+    orders = star.table(spark, sf_dir, "orders").select(star.node_id("customer", "o_custkey").alias("node_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("citation"))
+    return enrich.node_contexts(nodes, orders, orders.select("chunk_id", F.lit("passage").alias("texte")), limit=0)
 
 
 # load and resolution
@@ -197,27 +279,33 @@ def edge_dedupe(spark, sf_dir):
     return resolve.dedupe_edges(rows).select("source_id", "cible_id", "ordinal")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 10)")
+@query("SELECT DISTINCT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey::BIGINT AS l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 10)")
 def fk_prune(spark, sf_dir):
-    return star.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(star.table(spark, sf_dir, "part").where("p_size >= 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    """Lines as edges from orders to parts, in a base without the small parts."""
+    lines = star.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_id"), F.concat_ws("#", F.lit("ligne"), "l_linenumber").alias("type"), F.concat(F.lit("P"), "l_partkey").alias("cible_id"), F.lit("").alias("chunk_id"), F.lit("").alias("citation"))
+    nodes = star.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("node_id")).union(star.table(spark, sf_dir, "part").where("p_size >= 10").select(F.concat(F.lit("P"), "p_partkey")))
+    none = {t: spark.createDataFrame([], TABLES[t]) for t in ("documents", "chunks", "aliases", "mentions")}
+    kept, _ = store.prune(none | {"nodes": nodes, "edges": lines})
+    return kept["edges"].select(F.col("source_id").cast("long").alias("l_orderkey"), F.substring_index("type", "#", -1).cast("long").alias("l_linenumber"), F.expr("substring(cible_id, 2)").cast("long").alias("l_partkey"))
 
 
-_RULES = Ontology({"nation": "NAT", "region": "REG", "customer": "CUS", "supplier": "SUP"}, {"appartient_a": Relation(("nation",), ("region",)), "situe_en": Relation(("customer",), ("nation",)), "liee_a": Relation(("*",), ("*",))})
+_RULES = Ontology(_STAR.prefixes, _STAR.relations | {"appartient_a": Relation(("nation",), ("region",)), "situe_en": Relation(("customer",), ("nation",)), "liee_a": Relation(("*",), ("*",))})
 
 
-@query(f"WITH {star.NODES_SQL}, {star.edges_sql(_PLACES)} SELECT source_id, CASE WHEN e.type = 'situe_en' AND a.type <> 'customer' THEN 'liee_a' ELSE e.type END AS type, cible_id FROM edges e JOIN nodes a ON a.node_id = source_id")
+@query(f"WITH {star.NODES_SQL}, {star.edges_sql()} SELECT source_id, CASE WHEN e.type = 'situe_en' AND a.type <> 'customer' THEN 'liee_a' ELSE e.type END AS type, cible_id FROM edges e JOIN nodes a ON a.node_id = source_id")
 def constraint_downgrade(spark, sf_dir):
     """Suppliers are not allowed as sources of situe_en."""
     kinds = star.nodes(spark, sf_dir).select("node_id", "type")
-    ends = star.edges(spark, sf_dir, _PLACES)
+    ends = star.edges(spark, sf_dir)
     for side, kind in (("source_id", "source_type"), ("cible_id", "cible_type")):
         ends = ends.join(kinds.select(F.col("node_id").alias(side), F.col("type").alias(kind)), side)
     return resolve.constrain(ends, _RULES).select("source_id", "type", "cible_id")
 
 
-@query(f"WITH {star.edges_sql({'situe_en'})}, l AS (SELECT cible_id, least(cible_id, min(source_id)) AS label FROM edges GROUP BY 1) SELECT source_id AS id, label FROM edges JOIN l USING (cible_id) UNION SELECT cible_id, label FROM l")
+@query(f"WITH RECURSIVE {star.edges_sql()}, m AS (SELECT min(de) AS id FROM und), r(id) AS (SELECT id FROM m UNION SELECT vers FROM und JOIN r ON de = r.id) SELECT DISTINCT de AS id, CASE WHEN de IN (SELECT id FROM r) THEN (SELECT id FROM m) END AS label FROM und")
 def connected_components(spark, sf_dir):
-    return components(star.edges(spark, sf_dir, {"situe_en"}), "source_id", "cible_id")
+    """Over all relations, by the distributed rounds: chains from lines over orders, customers and nations to regions. All hang together, which the SQL shows by reaching them from the least."""
+    return components(star.edges(spark, sf_dir), "source_id", "cible_id", one_task=0)
 
 
 @query()
@@ -254,9 +342,10 @@ def fingerprints_and_excerpts(spark, sf_dir):
     return star.table(spark, sf_dir, "documents").select("doc_id", text_fingerprint(F.coalesce("text", F.lit(""))).alias("sha"), text.excerpt(F.col("text"), 400).alias("extrait"))
 
 
-@query("SELECT event_id, k AS attribut, json_extract_string(props, '$.' || k) AS valeur FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+@query("SELECT event_id, k AS attribut, json_extract(props, '$.' || k)::VARCHAR AS valeur FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
 def json_attributes(spark, sf_dir):
-    return star.table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("attribut", "valeur"))
+    """Attributes with their values as JSON, by the function that entity resolution uses."""
+    return resolve.attributes(star.table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", F.col("k").alias("attribut"), F.col("v").alias("valeur"))
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'nouveau' WHEN length(text) % 2 = 0 THEN 'inchange' ELSE 'modifie' END AS etat FROM documents")
