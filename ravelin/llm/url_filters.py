@@ -8,7 +8,7 @@ top is the most specific one. A hot host is split over ranges by its paths, so i
 
 Boundaries come from a hash sample of about ``boundary_sample`` keys. They steer only where the work is done, never the result.
 
-Defined cases: a null URL, or one without ``scheme://host``, has a null key and the action ``invalid``; a URL that no rule holds has a
+A host in brackets (an IPv6 address) is one label. Defined cases: a null URL, or one without ``scheme://host``, has a null key and the action ``invalid``; a URL that no rule holds has a
 null rule and the default action; of rules with the same prefix the lowest ``rule_id`` wins; repeated pages give repeated
 rows; a null ``page_id`` is carried along; without rules every valid URL has the default action; an empty table gives an
 empty result; other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.common import INT, LONG, STRING, hash_fraction, pick, schema
 
-_PARTS = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^#]*)"
+_PARTS = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]+)(?::[0-9]*)?([^#]*)"
 DEFAULT_ACTION = "keep"
 #: (rule_id, key prefix, action). A prefix that ends in ``,`` is a domain with its subdomains, in ``,)/`` one host, longer ones are paths.
 RULES: list[tuple[int, str, str]] = [
