@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from helpers import docs, prose
+from pyspark.sql import functions as F
 
 from ravelin.llm import fingerprints, kneser_ney, language_id, mixing, near_dedup, packing, quality_rules, recurrent_lm, token_counts, url_filters
 
@@ -191,6 +192,12 @@ def test_url_rules_against_brute_force(spark, sf):
             assert (r.rule_id, r.action, r.n_active) == (best[0], best[2], len(hits))
 
 
+def test_addresses_in_brackets_are_hosts_of_their_own(spark):
+    urls = ["http://[::1]:80/a", "http://u:p@[2001:db8::7]/b?c#d", "http://[::2]", "http://1.2.3.4:8/x"]
+    got = [r.k for r in spark.createDataFrame([(u,) for u in urls], "u string").select(url_filters.url_key(F.col("u")).alias("k")).collect()]
+    assert got == ["[::1],)/a", "[2001:db8::7],)/b?c", "[::2],)/", "4,3,2,1,)/x"]
+
+
 # 5
 @pytest.mark.parametrize("head", [0, 8, 1 << 20])
 def test_kneser_ney_against_the_formula(spark, head):
@@ -436,6 +443,31 @@ def test_state_is_carried_and_words_sum_to_one():
     assert np.exp(recurrent_lm.log_probabilities(p, one, np.arange(12))).sum() == pytest.approx(1.0, abs=1e-4)
 
 
+def test_likelihood_by_plain_recursion():
+    """Unit by unit, one document after another, with whole softmaxes."""
+    rng = np.random.default_rng(4)
+    p = recurrent_lm.initial(np.arange(1.0, 13.0), 3, 4, 5, seed=9)
+    lengths = np.array([7, 1, 12, 40, 3])
+    units = rng.integers(0, 12, lengths.sum())
+    want, at, n = [], 0, 5
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    log_softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    for size in lengths:
+        h, x, total = np.zeros(n), p["E"][12], 0.0
+        for u in units[at : at + size]:
+            g = h @ p["U"]
+            z, r = sigmoid(x[:n] + g[:n]), sigmoid(x[n : 2 * n] + g[n : 2 * n])
+            c = np.tanh(x[2 * n :] + r * g[2 * n :])
+            h = (1 - z) * c + z * h
+            k, slot = divmod(int(u), 4)
+            total += log_softmax(h @ p["C"] + p["c"])[k] + log_softmax(p["W"][k] @ h + p["w"][k])[slot]
+            x = p["E"][u]
+        want.append(total)
+        at += size
+    for streams, window in ((1, 5), (3, 4), (64, 24)):
+        assert recurrent_lm.score(p, lengths, units, streams, window) == pytest.approx(want, abs=1e-3)
+
+
 def test_training_beats_word_frequencies(spark):
     rnd = random.Random(6)
     nxt = {w: rnd.sample("abcdefgh", 2) for w in "abcdefgh"}
