@@ -230,10 +230,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"a\0b")
     (tmp_path / "p.html").write_text("<h1>P</h1><p>q</p>")
     (tmp_path / "vide.txt").write_text(" \n")
-    (tmp_path / "rien.txt").write_text("")  # Spark lists no empty file
+    (tmp_path / "rien.txt").write_text("")
     converted = files.convert(files.scan_files(spark, str(tmp_path))).cache()
     state = {r.nom: (r.ok, r.erreur is None) for r in converted.collect()}
-    assert state == {"CR 2024-01-02.md": (True, True), "b.bin": (False, False), "p.html": (True, True), "vide.txt": (False, True)}
+    assert state == {"CR 2024-01-02.md": (True, True), "b.bin": (False, False), "p.html": (True, True), "vide.txt": (False, True), "rien.txt": (False, True)}
     docs = files.documents_of(converted)
     assert {(r.titre, r.type_document, r.date_document) for r in docs.collect()} == {("Titre", "compte_rendu", "2024-01-02"), ("P", "document", None)}
     assert {r.ordre for r in files.chunks_of(docs).collect()} == {0}
