@@ -241,6 +241,23 @@ def test_kneser_ney_against_the_formula(spark, head):
     assert sum(p(number["a"], number["b"], w) for w in (unk, *number.values())) == pytest.approx(1.0)
 
 
+def test_the_model_counts_every_trusted_document_of_its_half(spark, monkeypatch):
+    d = spark.range(16_000).selectExpr("id AS doc_id", "'one two three' AS text")
+    lab = d.selectExpr("doc_id", "1 AS quality")
+    monkeypatch.setattr(kneser_ney, "estimate", lambda counts, *_, **__: counts.agg({"n": "sum"}).first()[0])
+    half = kneser_ney._half(kneser_ney.trusted_ids(lab), held_out=False).count()
+    assert half > 7_000 and kneser_ney.fit(d, lab) == 3 * half
+
+
+def test_scoring_in_parts_gives_the_same_sums(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"a b c d {i % 7} e a b", "en") for i in range(300)], "doc_id long, text string, lang string")
+    lab = d.selectExpr("doc_id", "1 AS quality")
+    columns = ("doc_id", "n_words", "perplexity", "threshold", "keep")
+    whole = kneser_ney.perplexities(d, lab).select(*columns).orderBy("doc_id").collect()
+    monkeypatch.setattr(kneser_ney, "_PARTS_FROM", 10)
+    assert kneser_ney.perplexities(d, lab).select(*columns).orderBy("doc_id").collect() == whole and len(whole) == 300
+
+
 def test_a_rare_language_takes_the_common_threshold(spark):
     scores = spark.createDataFrame([("en", float(i)) for i in range(200)] + [("xx", 5.0)] * 3 + [(None, 7.0)], "lang string, perplexity double")
     got = {r.lang: r.threshold for r in kneser_ney._thresholds(scores, 0.99, 100).collect()}
