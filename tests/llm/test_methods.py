@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import docs, prose
 from pyspark.sql import functions as F
@@ -258,6 +260,22 @@ def test_scoring_in_parts_gives_the_same_sums(spark, monkeypatch):
     assert kneser_ney.perplexities(d, lab).select(*columns).orderBy("doc_id").collect() == whole and len(whole) == 300
 
 
+def test_packed_numbers_come_back():
+    for x in (np.array([5, 3, 3, 2**63 - 1, 0, -(2**62)]), np.array([7, -1, 2**31 - 1], np.int32), np.zeros(0, np.int64)):
+        assert (kneser_ney._unpacked(kneser_ney._packed(x), x.dtype.type) == x).all()
+
+
+def test_the_model_on_disk_is_small(spark):
+    rnd = np.random.default_rng(3)
+    words = rnd.integers(3, 300, (60_000, 3))
+    keys = (words[:, 0] << 42) | (words[:, 1] << 21) | words[:, 2]
+    counts = spark.createDataFrame(pd.DataFrame({"key": keys, "n": 1}))
+    model = kneser_ney.estimate(counts, np.arange(300, dtype=np.uint64), 1)
+    files = {f.removeprefix("file://") for df in model._written for f in df.inputFiles()}
+    assert sum(map(os.path.getsize, files)) < 8 * len(np.unique(keys))
+    model.discard()
+
+
 def test_a_rare_language_takes_the_common_threshold(spark):
     scores = spark.createDataFrame([("en", float(i)) for i in range(200)] + [("xx", 5.0)] * 3 + [(None, 7.0)], "lang string, perplexity double")
     got = {r.lang: r.threshold for r in kneser_ney._thresholds(scores, 0.99, 100).collect()}
