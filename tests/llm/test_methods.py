@@ -260,6 +260,21 @@ def test_scoring_in_parts_gives_the_same_sums(spark, monkeypatch):
     assert kneser_ney.perplexities(d, lab).select(*columns).orderBy("doc_id").collect() == whole and len(whole) == 300
 
 
+def test_keep_fluent_scores_what_it_needs_in_as_many_parts_as_it_takes(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"a b c d {i % 7} e a b" if i % 50 else "x y z", "en") for i in range(300)], "doc_id long, text string, lang string")
+    lab = d.where("doc_id < 100").selectExpr("doc_id", "1 AS quality")
+    want = {r.doc_id for r in kneser_ney.perplexities(d, lab).where("keep").collect()}
+    asked, parts, sums, written = [], [], kneser_ney.Model.sums, kneser_ney._written
+    monkeypatch.setattr(kneser_ney.Model, "sums", lambda self, texts: asked.append(texts.count()) or sums(self, texts))
+    monkeypatch.setattr(kneser_ney, "_written", lambda df, tag, *rest: parts.append(tag) or written(df, tag, *rest))
+    monkeypatch.setattr(kneser_ney, "_PARTS_FROM", 100)
+    held = kneser_ney._half(kneser_ney.trusted_ids(lab), held_out=True).count()
+    assert {r.doc_id for r in kneser_ney.keep_fluent(d, d, lab).collect()} == want
+    assert asked == [held, 300] and parts.count("kn-known") == 1 + 3
+    monkeypatch.setattr(kneser_ney, "_BROADCAST_ROWS", 0)  # then scores are joined
+    assert {r.doc_id for r in kneser_ney.keep_fluent(d, d, lab).collect()} == want and asked[2] > held
+
+
 def test_packed_numbers_come_back():
     for x in (np.array([5, 3, 3, 2**63 - 1, 0, -(2**62)]), np.array([7, -1, 2**31 - 1], np.int32), np.zeros(0, np.int64)):
         assert (kneser_ney._unpacked(kneser_ney._packed(x), x.dtype.type) == x).all()
@@ -282,6 +297,15 @@ def test_a_rare_language_takes_the_common_threshold(spark):
     assert got.keys() == {"en", None} and kneser_ney._thresholds(scores, 0.99, 1).count() == 3
 
 
+def test_thresholds_are_exact_in_any_order_of_rows(spark):
+    x = np.random.default_rng(4).lognormal(8, 1, 6_000)
+    want = {"en": np.sort(x[:5_000])[4_994], None: np.sort(x)[5_993]}
+    for seed in range(4):
+        order = np.random.default_rng(seed).permutation(len(x))
+        scores = spark.createDataFrame(pd.DataFrame({"lang": np.where(order < 5_000, "en", None), "perplexity": x[order]}), "lang string, perplexity double").repartition(seed + 1)
+        assert {r.lang: r.threshold for r in kneser_ney._thresholds(scores, 0.9989, 100).collect()} == want
+
+
 def test_classifier_keeps_clean_text(spark, sf):
     d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = kneser_ney.perplexities(d, lab).join(lab, "doc_id")
