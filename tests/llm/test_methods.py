@@ -492,6 +492,25 @@ def test_gradients_against_differences():
         recurrent_lm._f = old
 
 
+def test_windows_are_longer_where_few_streams_are_left():
+    lengths = np.array([1_000, *[20] * 63])
+    s = recurrent_lm.Streams(lengths, np.zeros(lengths.sum(), np.int32), 64, 12)
+    got = list(s.windows(16))
+    assert [x for at, _ in got for x in range(at.start, at.stop)] == list(range(1_000))
+    assert all(at.stop - at.start >= 16 or at.stop == 1_000 for at, _ in got) and len(got) <= 4  # 63 of 16 positions
+    assert all(live == (s.loads > at.start).sum() for at, live in got)
+
+
+def test_softmax_of_any_logits():
+    for scale in (1, 50, 300):
+        x = (np.random.default_rng(1).standard_normal((40, 9)) * scale).astype(np.float32)
+        wide = x.astype(np.float64)
+        want = wide.max(axis=1) + np.log(np.exp(wide - wide.max(axis=1, keepdims=True)).sum(axis=1))
+        prob, lse = recurrent_lm._softmax(x)
+        assert lse == pytest.approx(want, rel=1e-5) and recurrent_lm._log_sum(x) == pytest.approx(want, rel=1e-5)
+        assert prob == pytest.approx(np.exp(wide - want[:, None]), abs=1e-5)
+
+
 def test_state_is_carried_and_words_sum_to_one():
     p = recurrent_lm.initial(np.arange(12.0), 3, 4, 5, seed=3)
     lengths, words = np.array([30, 2, 17]), np.random.default_rng(1).integers(0, 12, 49)
