@@ -501,6 +501,12 @@ def test_windows_are_longer_where_few_streams_are_left():
     assert all(live == (s.loads > at.start).sum() for at, live in got)
 
 
+def test_words_are_counted_in_bounded_lots(monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "_FLUSH", 10)
+    lots = list(recurrent_lm._count_words([pd.DataFrame({"text": [f"A{i} b{i} c" for i in range(100)]})]))
+    assert max(map(len, lots)) <= 13 and sum(x["n"].sum() for x in lots) == 300
+
+
 def test_softmax_of_any_logits():
     for scale in (1, 50, 300):
         x = (np.random.default_rng(1).standard_normal((40, 9)) * scale).astype(np.float32)
