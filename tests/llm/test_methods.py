@@ -275,6 +275,34 @@ def test_keep_fluent_scores_what_it_needs_in_as_many_parts_as_it_takes(spark, mo
     assert {r.doc_id for r in kneser_ney.keep_fluent(d, d, lab).collect()} == want and asked[2] > held
 
 
+def test_the_filter_is_not_filled_by_trigrams(spark):
+    rnd = np.random.default_rng(5)
+    u, v, w = rnd.integers(3, 803, 60_000), rnd.integers(3, 103, 60_000), rnd.integers(3, 43, 60_000)
+    counts = spark.createDataFrame(pd.DataFrame({"key": (u << 42) | (v << 21) | w, "n": 1}))
+    model = kneser_ney.estimate(counts, np.arange(1_000, dtype=np.uint64), 1, 0)
+    assert 0 < np.unpackbits(model.shared.bloom.view(np.uint8)).sum() <= 3 * len(np.unique((v << 21) | w))
+    model.discard()
+
+
+def test_scoring_moves_what_is_asked_once(spark, monkeypatch):
+    texts = [prose(i, 120) for i in range(600)]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = kneser_ney.fit(d, d.where("doc_id % 2 = 0").selectExpr("doc_id", "1 AS quality"))
+    sizes, written = [], kneser_ney._written
+
+    def seen(df, *rest):
+        out = written(df, *rest)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(kneser_ney, "_written", seen)
+    monkeypatch.setattr(kneser_ney, "_PARTS_FROM", 10)
+    got = {r.doc_id: r.n_words for r in model.sums(d.select("doc_id", "lang", "text")).collect()}
+    assert got == dict.fromkeys(range(600), 120)
+    assert len(sizes) <= 3 and sum(sizes) < 60 * len(texts)  # of a text there is a row of numbers, and no n-grams
+    model.discard()
+
+
 def test_packed_numbers_come_back():
     for x in (np.array([5, 3, 3, 2**63 - 1, 0, -(2**62)]), np.array([7, -1, 2**31 - 1], np.int32), np.zeros(0, np.int64)):
         assert (kneser_ney._unpacked(kneser_ney._packed(x), x.dtype.type) == x).all()
