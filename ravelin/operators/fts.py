@@ -1,7 +1,7 @@
 """Full-text search with BM25 over a postings table.
 
-The index is (mot, chunk_id, positions, dl), clustered by term, with one row of corpus statistics. A search reads only the postings of its terms
-(the filter reaches the scan), so its cost follows how often the terms occur and not the size of the corpus. Both text
+The index is (mot, chunk_id, positions, dl), in lots of passages that are each in order of term, with one row of corpus statistics. A search reads only the
+pages of its terms (the filter reaches the scan, and pages tell their least and greatest term), a few for each lot, and a stop word is spread over all lots. Both text
 columns count together; a word that holds ``_`` is a phrase of its parts, matched by adjacent positions.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,10 @@ from ravelin.plans.lineage import materialise
 
 K1, B, LOWEST_IDF = 1.2, 0.75, 1e-6
 _TERM = re.compile(r"[^\W_]+")
-_SALTS = 16
 #: Positions of the second column begin this far behind the first, so that no phrase spans both.
 _GAP = 1 << 30
+#: Passages in an Arrow batch of texts, places in a lot of postings, rows in an Arrow batch of them: they bound what a worker holds at once.
+_BATCH, _LOT, _ROWS = 500, 2_000_000, 50_000
 
 
 def question_words(question: str) -> list[list[str]]:
@@ -32,34 +35,69 @@ def question_words(question: str) -> list[list[str]]:
     return [w for w in words if w]
 
 
-_PLACES = T.StructType([T.StructField("dl", T.IntegerType()), T.StructField("mots", T.ArrayType(T.StructType([T.StructField("mot", T.StringType()), T.StructField("positions", T.ArrayType(T.LongType()))])))])
-
-
-@F.pandas_udf(_PLACES)
-def _places(*columns: pd.Series) -> pd.DataFrame:
-    """The terms of each passage with their places, over all its columns: folded, cut and grouped within the row."""
-    out = []
-    for texts in zip(*columns, strict=True):
-        found: dict[str, list[int]] = {}
-        dl = 0
-        for i, text in enumerate(texts):
-            terms = _TERM.findall(fold(text)) if isinstance(text, str) else []
-            dl += len(terms)
-            for p, t in enumerate(terms, i * _GAP):
-                found.setdefault(t, []).append(p)
-        out.append((dl, [{"mot": t, "positions": p} for t, p in found.items()]))
-    return pd.DataFrame(out, columns=["dl", "mots"])
+def _lots(batches):
+    """mot, chunk_id, positions, dl for batches of an id and texts: the terms of each passage with their places, over all its columns, folded, cut
+    and grouped within the row. What is kept at once is a lot of about _LOT places, however many passages there are; each lot is in order of term."""
+    lot = _Lot()
+    for batch in batches:
+        lot.add_ids(batch.column(0))
+        for row in range(batch.num_rows):
+            found: dict[str, list[int]] = {}
+            dl = 0
+            for i, column in enumerate(batch.columns[1:]):
+                text = column[row].as_py()
+                terms = _TERM.findall(fold(text)) if isinstance(text, str) else []
+                dl += len(terms)
+                for p, t in enumerate(terms, i * _GAP):
+                    found.setdefault(t, []).append(p)
+            lot.add(row, found, dl)
+            if len(lot.places) >= _LOT:
+                yield from lot.in_order()
+                lot = _Lot()
+                lot.add_ids(batch.column(0))
+    yield from lot.in_order()
+
+
+class _Lot:
+    """Postings in plain arrays: number of the term and of the passage, end of the places, places, size of the passage."""
+
+    def __init__(self):
+        self.ids, self.first, self.terms = [], 0, {}
+        self.codes, self.rows, self.ends, self.places, self.sizes = array("i"), array("i"), array("i", [0]), array("q"), array("i")
+
+    def add_ids(self, ids: pa.Array) -> None:
+        self.first = sum(map(len, self.ids))
+        self.ids.append(ids)
+
+    def add(self, row: int, found: dict[str, list[int]], dl: int) -> None:
+        for t, at in found.items():
+            self.codes.append(self.terms.setdefault(t, len(self.terms)))
+            self.rows.append(self.first + row)
+            self.places.extend(at)
+            self.ends.append(len(self.places))
+            self.sizes.append(dl)
+
+    def in_order(self):
+        if not self.codes:
+            return
+        as_int = lambda x: np.frombuffer(x, dtype="int32")
+        words = list(self.terms)
+        rank = np.empty(len(words), dtype="int32")
+        rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words), dtype="int32")
+        order = np.argsort(rank[as_int(self.codes)], kind="stable")
+        words, ids = pa.array(words, pa.string()), pa.concat_arrays(self.ids)
+        places = pa.ListArray.from_arrays(pa.array(as_int(self.ends)), pa.array(np.frombuffer(self.places, dtype="int64")))
+        for i in range(0, len(order), _ROWS):
+            some = order[i : i + _ROWS]
+            columns = [words.take(pa.array(as_int(self.codes)[some])), ids.take(pa.array(as_int(self.rows)[some])), places.take(pa.array(some)), pa.array(as_int(self.sizes)[some])]
+            yield pa.RecordBatch.from_arrays(columns, ["mot", "chunk_id", "positions", "dl"])
 
 
 def postings(passages: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("texte", "chemin_titres")) -> DataFrame:
-    """mot, chunk_id, positions, dl: a row for each term of each passage; dl is the passage's number of terms."""
-    own = passages.select(F.col(id_col).alias("chunk_id"), _places(*[F.col(c) for c in text_cols]).alias("p"))
-    return own.select("chunk_id", "p.dl", F.explode("p.mots").alias("m")).select("m.mot", "chunk_id", "m.positions", "dl")
-
-
-def clustered(index: DataFrame) -> DataFrame:
-    """Postings in order of term; a term's postings are spread over _SALTS parts, so that a stop word is no hot task."""
-    return index.repartition("mot", F.pmod(F.xxhash64("chunk_id"), F.lit(_SALTS))).sortWithinPartitions("mot")
+    """mot, chunk_id, positions, dl: a row for each term of each passage; dl is the passage's number of terms. Rows come in lots in order of term."""
+    own = passages.select(F.col(id_col).alias("chunk_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(text_cols)])
+    fields = [T.StructField("mot", T.StringType()), T.StructField("chunk_id", own.schema["chunk_id"].dataType), T.StructField("positions", T.ArrayType(T.LongType())), T.StructField("dl", T.IntegerType())]
+    return own.mapInArrow(_lots, T.StructType(fields))
 
 
 def statistics(passages: DataFrame, index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -69,8 +107,8 @@ def statistics(passages: DataFrame, index: DataFrame, id_col: str = "chunk_id")
 
 
 def build_index(passages: DataFrame, id_col: str = "chunk_id", text_cols: tuple[str, ...] = ("texte", "chemin_titres")) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics), written in the shared folder with the postings clustered by term."""
-    index = materialise(clustered(postings(passages, id_col, text_cols)), "fts-postings")
+    """(postings, statistics), written in the shared folder. Nothing is shuffled for it."""
+    index = materialise(postings(passages, id_col, text_cols), "fts-postings", _BATCH)
     return index, materialise(statistics(passages, index, id_col), "fts-statistics")
 
 

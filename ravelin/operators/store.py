@@ -81,7 +81,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], ontolo
     root, tables = root.rstrip("/"), dict(tables)
     tables["meta"] = spark.createDataFrame([("construit_le", version), ("ontologie_version", ontology_version), ("moteur", "spark")], "cle string, valeur string")
     if "chunks" in tables:
-        tables["fts_postings"] = fts.clustered(fts.postings(tables["chunks"]))
+        tables["fts_postings"] = fts.postings(tables["chunks"])
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
     if "chunks" in tables:

@@ -2,7 +2,9 @@ import itertools
 import json
 import random
 import sqlite3
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,27 @@ def test_bm25_is_that_of_fts5(spark):
     assert fts.search(index, stats, "chat absent", 500, "auto").count() == sum("Chat" in t for t in texts)
 
 
+def test_postings_are_made_in_bounded_lots(monkeypatch):
+    monkeypatch.setattr(fts, "_LOT", 10_000)
+    text = lambda i: " ".join(f"mot{(i * 7 + j) % 500}" for j in range(100))
+    batches = [pa.RecordBatch.from_pydict({"chunk_id": list(range(k, k + 150)), "_0": [text(i) for i in range(k, k + 150)]}) for k in range(0, 900, 150)]
+    lots, terms, seen = 0, [], set()
+    tracemalloc.start()
+    for part in fts._lots(batches):
+        lots, terms = lots + 1, part["mot"].to_pylist()
+        assert terms == sorted(terms)
+        seen.update((c, p[0]) for c, p, m in zip(part["chunk_id"].to_pylist(), part["positions"].to_pylist(), terms, strict=True) if m == f"mot{(c * 7 + p[0]) % 500}")
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(seen) == 900 * 100 and lots == 9
+    assert peak < 30, peak  # all at once takes about a kilobyte for each term of each passage
+
+
+def test_an_index_is_made_without_a_shuffle(spark):
+    plan = fts.postings(spark.createDataFrame([(1, "un deux")], "chunk_id long, texte string"), text_cols=("texte",))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
 def test_knn_and_rrf(spark):
     rnd = random.Random(1)
     vs = [(i, [rnd.random() for _ in range(4)]) for i in range(50)] + [(99, [1.0])]
