@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.plans.config import Config
@@ -71,8 +72,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array_distinct(F.array("source_id", "cible_id"))).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degre"))
 
 
-def top_degrees(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
-    return degrees(edges).join(nodes.select("node_id", "type", "nom"), "node_id").orderBy(F.desc("degre"), "node_id").limit(k)
+def top_degrees(nodes: DataFrame, edges: DataFrame, k: int = 10, name: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """The k nodes of most edges; equal degrees by ``name`` of the id, and the ids are given as that."""
+    found = degrees(edges).join(nodes.select("node_id", "type", "nom"), "node_id")
+    return found.withColumn("node_id", name(F.col("node_id"))).orderBy(F.desc("degre"), "node_id").limit(k)
 
 
 def card_sample(nodes: DataFrame, mentions: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:

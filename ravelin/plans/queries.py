@@ -121,9 +121,14 @@ def schema_counts(spark, sf_dir):
     return knowledge.schema(base, _STAR).where("genre <> 'meta'").select("genre", F.col("nom").alias("type"), "n")
 
 
+def _numbered(spark, sf_dir, relations=None):
+    """(nodes, edges) by the numbers of the nodes; the ids are put in at the end."""
+    return star.nodes(spark, sf_dir, star.number), star.edges(spark, sf_dir, relations, star.number)
+
+
 @query(f"WITH {star.NODES_SQL}, {star.edges_sql()}, d AS (SELECT de AS node_id, count(*) AS degre FROM und GROUP BY 1) SELECT node_id, type, nom, degre FROM d JOIN nodes USING (node_id) ORDER BY degre DESC, node_id LIMIT 10")
 def degree_top10(spark, sf_dir):
-    return audit.top_degrees(star.nodes(spark, sf_dir), star.edges(spark, sf_dir)).select("node_id", "type", "nom", "degre")
+    return audit.top_degrees(*_numbered(spark, sf_dir), name=star.named).select("node_id", "type", "nom", "degre")
 
 
 _LINES = {"contient"}
@@ -132,13 +137,14 @@ _LINES = {"contient"}
 @query(f"WITH {star.NODES_SQL}, {star.edges_sql(_LINES)} SELECT node_id, type FROM nodes WHERE NOT EXISTS (SELECT 1 FROM und WHERE de = node_id)")
 def isolated_nodes(spark, sf_dir):
     """By the order lines alone: orders without a line and what lines don't name."""
-    return audit.isolated_nodes(star.nodes(spark, sf_dir), star.edges(spark, sf_dir, _LINES)).select("node_id", "type")
+    return star.with_names(audit.isolated_nodes(*_numbered(spark, sf_dir, _LINES)).select("node_id", "type"), "node_id")
 
 
 @query(f"WITH {star.NODES_SQL}, {star.edges_sql()} SELECT source_id, type, cible_id FROM edges WHERE source_id NOT IN (SELECT node_id FROM nodes WHERE type <> 'supplier') OR cible_id NOT IN (SELECT node_id FROM nodes WHERE type <> 'supplier')")
 def dangling_edges(spark, sf_dir):
     """Against a base that lost its suppliers."""
-    return audit.dangling_edges(star.nodes(spark, sf_dir).where("type <> 'supplier'"), star.edges(spark, sf_dir)).select("source_id", "type", "cible_id")
+    nodes, edges = _numbered(spark, sf_dir)
+    return star.with_names(audit.dangling_edges(nodes.where("type <> 'supplier'"), edges), "source_id", "cible_id")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
@@ -147,19 +153,19 @@ def documents_without_entity(spark, sf_dir):
     return audit.documents_without_entity(docs, docs.select("doc_id", F.col("doc_id").alias("chunk_id")), labels.select(F.col("doc_id").alias("chunk_id")))
 
 
-_START = star.id_of("nation", 7)
+_START, _START_NUMBER = star.id_of("nation", 7), star.number_of("nation", 7)
 _LEVELS = f"""n0 AS (SELECT '{_START}' AS id), n1 AS (SELECT DISTINCT vers AS id FROM und JOIN n0 ON de = id WHERE vers NOT IN (SELECT id FROM n0)),
 n2 AS (SELECT DISTINCT vers AS id FROM und JOIN n1 ON de = id WHERE vers NOT IN (SELECT id FROM n0 UNION ALL SELECT id FROM n1))"""
 
 
 @query(f"WITH {star.edges_sql()}, {_LEVELS} SELECT id AS node_id, 0 AS distance FROM n0 UNION ALL SELECT id, 1 FROM n1 UNION ALL SELECT id, 2 FROM n2")
 def voisins_nodes(spark, sf_dir):
-    return graph.neighbourhood(star.edges(spark, sf_dir), _START, 2)[0]
+    return star.with_names(graph.neighbourhood(_numbered(spark, sf_dir)[1], _START_NUMBER, 2)[0], "node_id")
 
 
 @query(f"WITH {star.edges_sql()}, {_LEVELS}, i AS (SELECT id FROM n0 UNION ALL SELECT id FROM n1) SELECT DISTINCT source_id, type, cible_id FROM edges WHERE source_id IN (SELECT id FROM i) OR cible_id IN (SELECT id FROM i)")
 def voisins_edges(spark, sf_dir):
-    return graph.neighbourhood(star.edges(spark, sf_dir), _START, 2)[1]
+    return star.with_names(graph.neighbourhood(_numbered(spark, sf_dir)[1], _START_NUMBER, 2)[1], "source_id", "cible_id")
 
 
 _FROM, _TO = star.id_of("customer", 1), star.id_of("supplier", 3)
@@ -172,7 +178,7 @@ _BACK = ", ".join(f"t{k} AS (SELECT {k} AS etape, id AS vers, p FROM p{k} WHERE
 
 @query(f"WITH {star.edges_sql()}, {_STEPS}, {_BACK}, t AS ({' UNION ALL '.join(f'SELECT * FROM t{k}' for k in range(1, 5))}) SELECT etape, split_part(p, '|', 1) AS de, split_part(p, '|', 2) AS relation, split_part(p, '|', 3) AS sens, vers FROM t")
 def chemin(spark, sf_dir):
-    return graph.shortest_path(star.edges(spark, sf_dir), _FROM, _TO, 4)
+    return star.with_names(graph.shortest_path(_numbered(spark, sf_dir)[1], star.number_of("customer", 1), star.number_of("supplier", 3), 4, star.named), "de", "vers")
 
 
 _PLACES = {"appartient_a", "situe_en"}
@@ -295,11 +301,11 @@ _RULES = Ontology(_STAR.prefixes, _STAR.relations | {"appartient_a": Relation(("
 @query(f"WITH {star.NODES_SQL}, {star.edges_sql()} SELECT source_id, CASE WHEN e.type = 'situe_en' AND a.type <> 'customer' THEN 'liee_a' ELSE e.type END AS type, cible_id FROM edges e JOIN nodes a ON a.node_id = source_id")
 def constraint_downgrade(spark, sf_dir):
     """Suppliers are not allowed as sources of situe_en."""
-    kinds = star.nodes(spark, sf_dir).select("node_id", "type")
-    ends = star.edges(spark, sf_dir)
+    nodes, ends = _numbered(spark, sf_dir)
+    kinds = nodes.select("node_id", "type")
     for side, kind in (("source_id", "source_type"), ("cible_id", "cible_type")):
         ends = ends.join(kinds.select(F.col("node_id").alias(side), F.col("type").alias(kind)), side)
-    return resolve.constrain(ends, _RULES).select("source_id", "type", "cible_id")
+    return star.with_names(resolve.constrain(ends, _RULES).select("source_id", "type", "cible_id"), "source_id", "cible_id")
 
 
 @query(f"WITH RECURSIVE {star.edges_sql()}, m AS (SELECT min(de) AS id FROM und), r(id) AS (SELECT id FROM m UNION SELECT vers FROM und JOIN r ON de = r.id) SELECT DISTINCT de AS id, CASE WHEN de IN (SELECT id FROM r) THEN (SELECT id FROM m) END AS label FROM und")

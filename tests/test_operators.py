@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.names import token_set_ratio
 from ravelin.operators import audit, enrich, extract, fts, graph, knowledge, resolve, sqlgate, store, vector
+from ravelin.plans import lineage, star
 from ravelin.plans.components import components
 from ravelin.plans.config import Config
 from ravelin.plans.ontology import default_ontology
@@ -96,6 +97,34 @@ def test_graph_against_brute_force(spark):
     assert graph.shortest_path(edges, "0", "0").count() == 0
 
 
+def test_levels_are_written_once_and_the_last_is_never_made(spark, monkeypatch):
+    tags, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag, *a: (tags.append(tag), write(df, tag, *a))[1])
+    edges = spark.createDataFrame([(1, "r", 2), (2, "r", 3), (9, "r", 3), (1, "a", 9), *[(2, "r", 100 + i) for i in range(50)]], "source_id long, type string, cible_id long")
+    back = graph.shortest_path(edges, 1, 3, 5, lambda c: F.lpad((10 - c).cast("string"), 3, "0")).orderBy("etape").collect()
+    assert [(r.de, r.relation, r.sens, r.vers) for r in back] == [(1, "a", "->", 9), (9, "r", "->", 3)]  # 9 is the lesser by name
+    assert sorted(tags) == ["graph-edges", "path-end", "path-level", "path-level"]
+    tags.clear()
+    nodes, ties = graph.neighbourhood(edges, 3, 3)
+    assert nodes.count() == 54 and ties.count() == 54 and nodes.dtypes[0] == ("node_id", "bigint")
+    assert sorted(tags) == ["graph-edges", *["graph-level"] * 3, "graph-seeds"]
+
+
+def test_numbers_name_the_same_nodes(spark):
+    keys = spark.createDataFrame([(k,) for k in (0, 1, 7, -3, 5_999_999_999, None)], "k long")
+    for kind in star.TYPES:
+        rows = keys.select("k", star.node_id(kind, "k").alias("a"), star.named(star.number(kind, "k")).alias("b"), star.number(kind, "k").alias("n")).collect()
+        assert all(r.a == r.b for r in rows) and rows[1].n == star.number_of(kind, 1) and rows[1].a == star.id_of(kind, 1)
+    with pytest.raises(Exception, match="beyond 59 bits"):
+        spark.createDataFrame([(1 << 60,)], "k long").select(star.number("part", "k").alias("n")).collect()
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark):
+    df = spark.range(1000)
+    assert lineage.spread(df, "id", rows=100).rdd.getNumPartitions() == 10
+    assert lineage.spread(df, "id").rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
 def test_components_against_union_find(spark):
     rnd = random.Random(9)
     pairs = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
