@@ -12,6 +12,7 @@ from ravelin.operators import audit, enrich, extract, fts, graph, knowledge, res
 from ravelin.plans import star
 from ravelin.plans.components import components
 from ravelin.plans.config import Config
+from ravelin.plans.lineage import broadcast_below, materialise
 from ravelin.plans.ontology import Ontology, Relation, default_ontology
 from ravelin.plans.tables import TABLES
 from ravelin.sources import files
@@ -311,7 +312,9 @@ def constraint_downgrade(spark, sf_dir):
 @query(f"WITH RECURSIVE {star.edges_sql()}, m AS (SELECT min(de) AS id FROM und), r(id) AS (SELECT id FROM m UNION SELECT vers FROM und JOIN r ON de = r.id) SELECT DISTINCT de AS id, CASE WHEN de IN (SELECT id FROM r) THEN (SELECT id FROM m) END AS label FROM und")
 def connected_components(spark, sf_dir):
     """Over all relations, by the distributed rounds: chains from lines over orders, customers and nations to regions. All hang together, which the SQL shows by reaching them from the least."""
-    return components(star.edges(spark, sf_dir), "source_id", "cible_id", one_task=0)
+    found = materialise(components(_numbered(spark, sf_dir)[1], "source_id", "cible_id", one_task=0), "components-numbered")
+    least = materialise(found.groupBy("label").agg(F.min(star.named(F.col("id"))).alias("least")), "components-least")  # labels are the least of the ids, not of the numbers
+    return found.join(broadcast_below(least, least.count(), 500_000), "label").select(star.named(F.col("id")).alias("id"), F.col("least").alias("label"))
 
 
 @query()

@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+import re
 import sqlite3
 import tracemalloc
 
@@ -14,6 +15,7 @@ from ravelin.plans import lineage, star
 from ravelin.plans.components import components
 from ravelin.plans.config import Config
 from ravelin.plans.ontology import default_ontology
+from ravelin.plans.tables import TABLES
 from ravelin.sources import files, jsonl
 from ravelin.streaming import ingest
 
@@ -145,6 +147,18 @@ def test_components_against_union_find(spark):
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    import ravelin.plans.components as c
+
+    tags, write = [], c.materialise
+    monkeypatch.setattr(c, "materialise", lambda df, tag, *a: (tags.append(tag), write(df, tag, *a))[1])
+    links = [(i, i + 1) for i in range(300)] + [(1000 + i, 1001 + (i * 7) % 40) for i in range(41)]
+    got = {r.id: r.label for r in c.components(spark.createDataFrame([*links, links[0], (5, 5), (7777, 7777)], "a long, b long"), one_task=0).collect()}
+    assert {i for i in got if got[i] == 0} == set(range(301)) and {i for i in got if i >= 1000} == {x for ab in links[300:] for x in ab}
+    assert all(got[a] == got[b] for a, b in links) and all(got[l] == l == min(i for i in got if got[i] == l) for l in set(got.values()))
+    assert 1 <= tags.count("component-least") <= 4  # each round needs the edges four times; the steps before took many rounds
+
+
 def test_fuzzy_pairs_lose_nothing(spark):
     rnd = random.Random(2)
     names = sorted({" ".join("".join(rnd.choice("abn") for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(1, 2))) for _ in range(70)})
