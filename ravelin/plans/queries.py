@@ -369,7 +369,9 @@ def manifest_diff(spark, sf_dir):
 
 @query()
 def html_to_markdown(spark, sf_dir):
-    return star.table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown_column(F.col("html")).alias("markdown"))
+    """Written by way of Arrow batches of few pages, as a worker holds a batch as objects."""
+    pages = star.table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown_column(F.col("html")).alias("markdown"))
+    return materialise(pages, "markdown", 200)
 
 
 @query()

@@ -5,7 +5,9 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ravelin.plans.queries import QUERIES, SQL
 
@@ -51,3 +53,16 @@ def test_nothing_outside_imports_llm():
         if f"{os.sep}llm{os.sep}" not in f:
             with open(f, encoding="utf-8") as h:
                 assert "ravelin.llm" not in h.read(), f
+
+
+def test_pages_are_converted_in_small_batches(spark, tmp_path, monkeypatch):
+    """A worker never has more than 200 pages at once."""
+    from ravelin.plans import queries
+
+    @F.pandas_udf("string")
+    def sizes(pages: pd.Series) -> pd.Series:
+        return pd.Series([str(len(pages))] * len(pages))
+
+    spark.range(1000).selectExpr("id AS page_id", "'<p>x</p>' AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(queries.text, "html_to_markdown_column", sizes)
+    assert {r.markdown for r in queries.html_to_markdown(spark, str(tmp_path)).collect()} == {"200"}
