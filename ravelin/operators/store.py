@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.operators import fts
+from ravelin.plans.lineage import spread
 from ravelin.plans.tables import TABLES
 
 
@@ -22,7 +23,9 @@ def prune(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame
     out["aliases"] = tables["aliases"].join(ids("node_id"), "node_id", "left_semi").dropDuplicates(["alias", "node_id"])
     out["mentions"] = tables["mentions"].withColumn("citation", F.coalesce("citation", F.lit(""))).join(ids("node_id"), "node_id", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["node_id", "chunk_id", "citation"])
     edges = tables["edges"].withColumn("chunk_id", F.nullif("chunk_id", F.lit("")))
-    edges = edges.join(ids("source_id"), "source_id", "left_semi").join(ids("cible_id"), "cible_id", "left_semi")
+    n = edges.count()
+    for end in ("source_id", "cible_id"):
+        edges = spread(edges, end, n=n).join(spread(ids(end), end, n=n), end)  # ids are there once; a semi join would be moved before the shuffle, and one side alone would be put into as many parts as the other has
     known = edges.join(chunks.select("chunk_id"), "chunk_id", "left_semi").unionByName(edges.where("chunk_id IS NULL"), allowMissingColumns=True)
     out["edges"] = known.dropDuplicates(["source_id", "type", "cible_id", "chunk_id"])
     lost = None

@@ -127,6 +127,22 @@ def test_tasks_hold_a_bounded_number_of_rows(spark):
     assert lineage.spread(df, "id").rdd.getNumPartitions() == df.rdd.getNumPartitions()
 
 
+def test_pruning_spreads_edges_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(store, "spread", lambda df, *c, n: lineage.spread(df, *c, rows=100, n=n))
+    none = {t: spark.createDataFrame([], TABLES[t]) for t in ("documents", "chunks", "aliases", "mentions")}
+    edges = spark.range(1000).selectExpr("CAST(id % 50 AS STRING) source_id", "'r' type", "CAST(id AS STRING) cible_id", "'' chunk_id", "'' citation")
+    kept, _ = store.prune(none | {"nodes": spark.range(900).selectExpr("CAST(id AS STRING) node_id"), "edges": edges})
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kept["edges"]._jdf.queryExecution().executedPlan().toString()
+        assert kept["edges"].count() == 900
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    parts = re.findall(r"hashpartitioning\((?:source_id|cible_id)#\d+L?, (\d+)\)", plan)
+    assert parts == ["10"] * 4, parts  # ten parts for each side of both joins, and not the four of the session
+
+
 def test_components_against_union_find(spark):
     rnd = random.Random(9)
     pairs = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)]
